@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, pack
+from gridloom.llm import bpe, pack, simhash
 from gridloom.llm.common import table
 
 
@@ -19,8 +19,12 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_pack": op3_pack}
+    return {"op1_bpe": op1_bpe, "op3_pack": op3_pack, "op4_simhash": op4_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
