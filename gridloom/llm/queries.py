@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, pack, simhash
+from gridloom.llm import bpe, pack, simhash, substring
 from gridloom.llm.common import table
 
 
@@ -23,9 +23,32 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
+OP9_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+grams AS (
+  SELECT doc_id, i, array_to_string(ws[i:i+12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+firsts AS (SELECT g, min(doc_id) AS d FROM grams GROUP BY g),
+gone AS (
+  SELECT DISTINCT doc_id, p FROM (
+    SELECT grams.doc_id, unnest(range(i, i + 13)) AS p FROM grams JOIN firsts USING (g) WHERE grams.doc_id > firsts.d)),
+marked AS (
+  SELECT w.doc_id, p.pos, p.word, gone.p IS NULL AS kept
+  FROM (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS word FROM w) p
+  JOIN w USING (doc_id) LEFT JOIN gone ON gone.doc_id = p.doc_id AND gone.p = p.pos)
+SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(count(m.pos) FILTER (NOT m.kept) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(m.word, ' ' ORDER BY m.pos) FILTER (m.kept), '')) AS kept_sha256
+FROM w LEFT JOIN marked m ON m.doc_id = w.doc_id GROUP BY w.doc_id, len(w.ws)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_pack": op3_pack, "op4_simhash": op4_simhash}
+    return {"op1_bpe": op1_bpe, "op3_pack": op3_pack, "op4_simhash": op4_simhash, "op9_substring": op9_substring}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_substring": OP9_SQL}
