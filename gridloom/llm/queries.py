@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, pack, simhash, substring
+from gridloom.llm import bpe, pack, rules, simhash, substring
 from gridloom.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), outputs=("ids_sha256", "decoded_sha256"))
 
 
+def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter("quality = 1"))
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -47,7 +51,7 @@ FROM w LEFT JOIN marked m ON m.doc_id = w.doc_id GROUP BY w.doc_id, len(w.ws)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_pack": op3_pack, "op4_simhash": op4_simhash, "op9_substring": op9_substring}
+    return {"op1_bpe": op1_bpe, "op2_rules": op2_rules, "op3_pack": op3_pack, "op4_simhash": op4_simhash, "op9_substring": op9_substring}
 
 
 def oracle_sql() -> dict[str, str]:
