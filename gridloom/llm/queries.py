@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import ann, bpe, pack, rules, simhash, substring
+from gridloom.llm import ann, bpe, pack, quality, rules, simhash, substring
 from gridloom.llm.common import table
 
 
@@ -69,8 +69,12 @@ FROM w LEFT JOIN marked m ON m.doc_id = w.doc_id GROUP BY w.doc_id, len(w.ws)
 """
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_rules": op2_rules, "op3_pack": op3_pack, "op4_simhash": op4_simhash, "op8_ann": op8_ann, "op9_substring": op9_substring}
+    return {"op1_bpe": op1_bpe, "op2_rules": op2_rules, "op3_pack": op3_pack, "op4_simhash": op4_simhash, "op8_ann": op8_ann, "op9_substring": op9_substring, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
