@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import ann, bpe, pack, quality, rules, simhash, substring
+from gridloom.llm import ann, bpe, pack, quality, rules, simhash, substring, urls, warc
 from gridloom.llm.common import table
 
 
@@ -27,6 +27,41 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^([^/?#]*)', 1) AS raw FROM p),
+s AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, len(raw) + 1), '^([^?#]*)', 1) AS path FROM h),
+rules(rhost, rpath, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+best AS (
+  SELECT page_id, max_by(rhost || rpath, len(rhost || rpath)) AS rule, max_by(v, len(rhost || rpath)) AS v
+  FROM s JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
+SELECT s.page_id, host, path, rule, coalesce(v, CASE WHEN regexp_matches(host, 'casino|bets|pills|adult|spam|ads-track') THEN 'block' ELSE 'allow' END) AS verdict
+FROM s LEFT JOIN best USING (page_id)
+"""
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.captures(table(spark, sf_dir, "pages"))
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+c AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS chief FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND chief > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND chief > page_id THEN chief END AS refers_to
+FROM c
+"""
+
+
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.filter("vec_id % 100 = 0"))
@@ -74,8 +109,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_rules": op2_rules, "op3_pack": op3_pack, "op4_simhash": op4_simhash, "op8_ann": op8_ann, "op9_substring": op9_substring, "op10_quality": op10_quality}
+    return {"op1_bpe": op1_bpe, "op2_rules": op2_rules, "op3_pack": op3_pack, "op4_simhash": op4_simhash, "op5_urls": op5_urls, "op6_warc": op6_warc, "op8_ann": op8_ann, "op9_substring": op9_substring, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_ann": OP8_SQL, "op9_substring": OP9_SQL}
+    return {"op5_urls": OP5_SQL, "op6_warc": OP6_SQL, "op8_ann": OP8_SQL, "op9_substring": OP9_SQL}
