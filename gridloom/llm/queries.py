@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import ann, bpe, pack, quality, rules, simhash, substring, urls, warc
+from gridloom.llm import ann, bpe, language, pack, quality, rules, simhash, substring, urls, warc
 from gridloom.llm.common import table
 
 
@@ -62,6 +62,10 @@ FROM c
 """
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.filter("vec_id % 100 = 0"))
@@ -109,7 +113,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_rules": op2_rules, "op3_pack": op3_pack, "op4_simhash": op4_simhash, "op5_urls": op5_urls, "op6_warc": op6_warc, "op8_ann": op8_ann, "op9_substring": op9_substring, "op10_quality": op10_quality}
+    return {"op1_bpe": op1_bpe, "op2_rules": op2_rules, "op3_pack": op3_pack, "op4_simhash": op4_simhash, "op5_urls": op5_urls, "op6_warc": op6_warc, "op7_language": op7_language, "op8_ann": op8_ann, "op9_substring": op9_substring, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
