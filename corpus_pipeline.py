@@ -1,27 +1,61 @@
-"""The corpus pipeline: documents to packed sequences, in five stages."""
+"""The corpus pipeline: documents to packed sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and, but for the last, returns the
+columns of ``docs``. Labels are read from ``sf_dir``; they train, and are no evidence for their own documents.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm import pack
+from gridloom.llm import pack, quality, rules, simhash, substring
 from gridloom.llm.common import shared_folder, table, written
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def _others(docs: DataFrame) -> tuple[str, ...]:
+    return tuple(x for x in docs.columns if x != "doc_id")
+
+
+def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier scores at 0.5 or more."""
+    scored = quality.classify(docs, table(spark, sf_dir, "labels"), keep=_others(docs))
+    return scored.filter("predicted = 1").select(docs.columns)
+
+
+def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and whose n-grams are as likely in trusted text."""
+    judged = rules.judge(docs, table(spark, sf_dir, "labels").filter("quality = 1"), keep=_others(docs))
+    return judged.filter("kept").select(docs.columns)
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id; rows without an id stay."""
+    stay = simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(stay, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null")).select(docs.columns)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 13 and more words that a document with a smaller id holds."""
+    kept = substring.remove_repeats(docs, keep=_others(docs.drop("text", "n_chars")))
+    kept = kept.withColumnRenamed("kept_text", "text").withColumn("n_chars", F.length("text").cast("long"))
+    return kept.select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens out of all texts that are left."""
     return pack.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("packing", packing)]
+STAGES = [("quality classifier", classified), ("quality rules", ruled), ("SimHash near-dedup", deduplicated), ("substring dedup", without_repeats), ("packing", packed)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each is written to the shared folder and read again by the next."""
     docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark)
-    for k, (name, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), folder, f"{k}-{name}")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), folder, f"stage-{k}")
     return docs
 
 
