@@ -168,11 +168,13 @@ def restore_equal_tail(x: Column, tail: Column, width: int) -> Column:
 
 
 def to_bits(x: Column, kind: Elem) -> Column:
-    """The raw pattern of a value (JVM-side)."""
+    """The raw pattern of a value (JVM-side); null for null."""
     if kind.name == "float":
-        return F.reflect(F.lit("java.lang.Float"), F.lit("floatToRawIntBits"), x.cast("float")).cast("long").bitwiseAND(mask(32))
+        bits = F.reflect(F.lit("java.lang.Float"), F.lit("floatToRawIntBits"), F.coalesce(x.cast("float"), F.lit(0.0).cast("float")))
+        return F.when(x.isNotNull(), bits.cast("long").bitwiseAND(mask(32)))
     if kind.name == "double":
-        return F.reflect(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), x.cast("double")).cast("long")
+        bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), F.coalesce(x.cast("double"), F.lit(0.0)))
+        return F.when(x.isNotNull(), bits.cast("long"))
     if kind.name == "uint64":
         big = F.lit(str(1 << 64)).cast("decimal(20,0)")
         return F.when(x > _LARGEST, x - big).otherwise(x).cast("long")
@@ -180,12 +182,12 @@ def to_bits(x: Column, kind: Elem) -> Column:
 
 
 def from_bits(bits: Column, kind: Elem) -> Column:
-    """The value of a raw pattern."""
+    """The value of a raw pattern; null for null."""
     if kind.name == "float":
-        signed = F.when(bits >= 1 << 31, bits - (1 << 32)).otherwise(bits).cast("int")
-        return F.reflect(F.lit("java.lang.Float"), F.lit("intBitsToFloat"), signed).cast("float")
+        signed = F.when(bits >= 1 << 31, bits - (1 << 32)).otherwise(F.coalesce(bits, long(0))).cast("int")
+        return F.when(bits.isNotNull(), F.reflect(F.lit("java.lang.Float"), F.lit("intBitsToFloat"), signed).cast("float"))
     if kind.name == "double":
-        return F.reflect(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+        return F.when(bits.isNotNull(), F.reflect(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), F.coalesce(bits, long(0))).cast("double"))
     if kind.name == "uint64":
         wide = bits.cast("decimal(20,0)")
         return F.when(bits < 0, wide + F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(wide).cast("decimal(20,0)")

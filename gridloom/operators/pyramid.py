@@ -206,13 +206,18 @@ class XorScheme(_FamilyScheme):
 SCHEMES: dict[str, type[Scheme]] = {"prefix": PrefixScheme, "multires": MultiResScheme, "xor": XorScheme}
 
 
-def climb(df: DataFrame, dim: int, depth: int, start_level: int, levels: int, step: Callable[[DataFrame, object, Column, int, str], DataFrame], state: tuple[str, ...]) -> DataFrame:
-    """``levels`` steps from ``start_level``: one shuffle by tile, one sort. Adds ``r0, r1, ...``, one per step."""
-    carried = ["var", "m", *[c for c in df.columns if c not in ("var", "m")]]
-    df = df.select(*carried).withColumns(keys(dim, levels))
+def climb(df: DataFrame, dim: int, depth: int, start_level: int, levels: int, step: Callable[[DataFrame, object, Column, int, str], DataFrame]) -> DataFrame:
+    """``levels`` steps from ``start_level``: one shuffle by tile, one sort. Adds ``r0, r1, ...``, one per step, and ``lead``.
+
+    A parent is represented by its first row (its corner cell, where there is one); ``lead`` marks the rows that stand for a
+    node of the level reached.
+    """
+    df = df.select("var", "m", *[c for c in df.columns if c not in ("var", "m")]).withColumns(keys(dim, levels) | {"lead": F.lit(True)})
     for j in range(1, levels + 1):
-        corner = F.col("bits" if "bits" in state else state[0]).isNotNull() & (F.col("m").bitwiseAND(long((1 << (dim * j)) - 1)) == 0)
-        df = step(df, family_window(levels, j), corner, start_level + j - 1, f"r{j - 1}")
+        w = family_window(levels, j)
+        df = df.withColumn("_first", F.min(F.when(F.col("lead"), F.col("m"))).over(w))
+        corner = F.col("lead") & (F.col("m") == F.col("_first"))
+        df = step(df, w, corner, start_level + j - 1, f"r{j - 1}").withColumn("lead", corner).drop("_first")
     return df.drop(*keys(dim, levels))
 
 
@@ -238,9 +243,9 @@ def compress_cells(cells: DataFrame, dim: int, depth: int, scheme: Scheme, meta:
     now, parts, level = scheme.start(cells).select("var", "m", *scheme.state), [], 0
     while level < depth:
         levels = min(TILE_LEVELS[dim], depth - level)
-        tiles = written(climb(now, dim, depth, level, levels, scheme.step, scheme.state), f"{folder}/tiles-{level}")
+        tiles = written(climb(now, dim, depth, level, levels, scheme.step), f"{folder}/tiles-{level}")
         parts.append(_emitted(tiles, dim, levels))
-        now = tiles.filter(F.col("bits").isNotNull()).select("var", ancestor(F.col("m"), dim, levels).alias("m"), *scheme.state)
+        now = tiles.filter("lead").select("var", ancestor(F.col("m"), dim, levels).alias("m"), *scheme.state)
         level += levels
     residuals = reduce(lambda a, b: a.unionByName(b), parts)
     return Pyramid(scheme.name, meta, depth, residuals, scheme.root(now))
@@ -310,10 +315,10 @@ def mean_levels(grid: Grid, depth: int | None = None) -> DataFrame:
     folder = shared_folder(grid.df.sparkSession)
     while level < depth:
         levels = min(TILE_LEVELS[dim], depth - level)
-        tiles = written(climb(now, dim, depth, level, levels, step, ("v",)), f"{folder}/means-{level}")
+        tiles = written(climb(now, dim, depth, level, levels, step), f"{folder}/means-{level}")
         structs = F.array(*[F.when(F.col(f"r{j}").isNotNull(), F.struct(ancestor(F.col("m"), dim, j + 1).alias("m"), F.col(f"r{j}").alias("r"))) for j in range(levels)])
         parts.append(tiles.select("var", F.explode(F.filter(structs, lambda x: x.isNotNull())).alias("e")).select("var", F.col("e.r.level").alias("level"), F.col("e.m").alias("m"), F.col("e.r.value").alias("value")))
-        now = tiles.filter(F.col("v").isNotNull()).select("var", ancestor(F.col("m"), dim, levels).alias("m"), "v")
+        now = tiles.filter("lead").select("var", ancestor(F.col("m"), dim, levels).alias("m"), "v")
         level += levels
     return reduce(lambda a, b: a.unionByName(b), parts)
 
