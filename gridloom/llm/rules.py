@@ -109,4 +109,9 @@ def judge(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
     rows = rows.withColumn("score", (total(F.col("h")) + total(_pairs())) / n)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", (~F.col("base_failed") & (F.col("score") >= THRESHOLD)).alias("kept"), *[F.col(f"rest.c{k}").alias(x) for k, x in enumerate(keep)])
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score")
+    kept = ~F.col("base_failed") & (F.col("score") >= THRESHOLD)
+    verdict = F.struct(*[F.col(x) for x in names], kept.alias("kept"), *[F.col(f"rest.c{k}").alias(f"c{k}") for k in range(len(keep))])
+    # a generator of one row: a filter on the verdict stays above it and doesn't take its whole computation into the lambdas
+    rows = rows.select(F.inline(F.array(verdict)))
+    return rows.select(*names, "kept", *[F.col(f"c{k}").alias(x) for k, x in enumerate(keep)])
