@@ -29,6 +29,11 @@ class Grid:
         """Its coordinate columns, slowest first."""
         return self.meta.layout.axes
 
+    @property
+    def along_curve(self) -> Grid:
+        """The same cells in the Morton curve's own layout."""
+        return Grid(self.df, self.meta.but(layout=self.meta.layout.curve))
+
 
 COLUMNS = ("var", *COORDS, "value")
 
@@ -91,7 +96,8 @@ def linear(grid: Grid) -> DataFrame:
 
 def with_morton(grid: Grid) -> DataFrame:
     """Adds ``m``, the Morton index relative to the domain's start."""
-    return grid.df.withColumn("m", morton_of(grid.axes, grid.meta.domain.starts(grid.meta.layout)))
+    layout = grid.meta.layout.curve
+    return grid.df.withColumn("m", morton_of(layout.axes, grid.meta.domain.starts(layout)))
 
 
 def apply_scaling(grid: Grid) -> Grid:
@@ -128,7 +134,7 @@ def split_by_dimension(grid: Grid, dim: str) -> dict[int, Grid]:
 
 def split_table(grid: Grid, dim: str) -> DataFrame:
     """All those grids in one table: ``var, context, t, z, y, x, m, value``, with Morton indices of what is left."""
-    layout = grid.meta.layout.without(dim)
+    layout = grid.meta.layout.without(dim).curve
     cells = grid.df.withColumn("context", F.col(AXES[dim])).withColumn(AXES[dim], long(0))
     return cells.select("var", "context", *COORDS, morton_of(layout.axes, grid.meta.domain.starts(layout)).alias("m"), "value")
 

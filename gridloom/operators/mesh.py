@@ -27,7 +27,7 @@ from gridloom.plans.types import Elem
 
 def padding(spark: SparkSession, meta: GridMeta) -> DataFrame:
     """``m, level`` of all elements outside of the domain, generated in parallel: per level the children beyond an odd edge."""
-    lengths, dim = [*reversed(meta.lengths)], meta.dimensionality  # x first
+    lengths, dim = [*reversed(meta.domain.lengths(meta.layout.curve))], meta.dimensionality  # x first
     parts = []
     for level in range(meta.depth):
         inside = [-(-n // (1 << level)) for n in lengths]
@@ -53,7 +53,7 @@ def embedded_elements(grid: Grid) -> DataFrame:
     missing = F.lit(grid.meta.missing).cast(kind.spark)
     outside = padding(grid.df.sparkSession, grid.meta).select(F.lit(grid.meta.name).alias("var"), "m", "level", missing.alias("v"))
     outside = outside.select("var", "m", "level", to_bits(F.col("v"), kind).alias("bits"), "v")
-    return cells_of(grid).select("var", "m", F.lit(0).alias("level"), "bits", "v").unionByName(outside)
+    return cells_of(grid.along_curve).select("var", "m", F.lit(0).alias("level"), "bits", "v").unionByName(outside)
 
 
 def compress_embedded(grid: Grid, scheme: str = "prefix") -> Pyramid:
@@ -65,7 +65,8 @@ def compress_embedded(grid: Grid, scheme: str = "prefix") -> Pyramid:
 def decompress_embedded(pyramid: Pyramid) -> Grid:
     """The domain's cells again, without the padding."""
     cells = decompress_cells(pyramid, pyramid.meta.dimensionality, SCHEMES[pyramid.scheme](pyramid.meta.elem))
-    grid = grid_from_cells(cells.select("var", "m", "bits"), pyramid.meta)
+    meta = pyramid.meta.but(layout=pyramid.meta.layout.curve)
+    grid = grid_from_cells(cells.select("var", "m", "bits"), meta)
     return Grid(grid.df.filter(in_domain(pyramid.meta.layout, pyramid.meta.domain)), pyramid.meta)
 
 

@@ -63,11 +63,13 @@ def stencil(grid: Grid, offsets: dict[str, Offset], block: int = BLOCK) -> DataF
 
 def face_offsets(grid: Grid) -> dict[str, Offset]:
     """``f0`` (lower) and ``f1`` (upper) along x, ``f2`` and ``f3`` along y, and so on."""
+    grid = grid.along_curve
     return {f"f{2 * k + s}": {a: 2 * s - 1} for k, a in enumerate(reversed(grid.axes)) for s in (0, 1)}
 
 
 def face_neighbours(grid: Grid) -> DataFrame:
     """Values across all faces; ``faces`` is their number, ``in_family`` how many of them share the cell's parent."""
+    grid = grid.along_curve
     offsets = face_offsets(grid)
     out = stencil(grid, offsets)
     starts = dict(zip(grid.axes, grid.meta.domain.starts(grid.meta.layout), strict=True))
@@ -170,6 +172,7 @@ def face_prediction(grid: Grid, interpolation: Callable[[Column], Column], weigh
     ``weights`` (coarse, near face, far face) as (1/5, 1/6, 1/10) in three dimensions; without them the mean of the coarse
     value and the near faces. A child's place in its family says which face is near.
     """
+    grid = grid.along_curve
     rows = with_parent(grid, mirrored_faces(coarsen(grid, interpolation)))
     near, far = [], []
     for k, a in enumerate(reversed(grid.axes)):
@@ -204,6 +207,7 @@ def idw_prediction(grid: Grid, samples: Grid | None = None, power: int = 16) ->
     A sample is the first child's value at that child's centre (``samples`` may hold a changed one, as after truncation);
     at a distance of 0 the sample itself is the prediction.
     """
+    grid = grid.along_curve
     coarse = samples or first_children(grid)
     offsets = face_offsets(coarse)
     rows = with_parent(grid, stencil(coarse, offsets).withColumnRenamed("value", "coarse"))
@@ -227,6 +231,7 @@ def linear_reconstruction(grid: Grid) -> DataFrame:
     A cell is reconstructed as (sum of outside faces + k * predictor) / (k + m) with its k faces within and m outside of
     the family. Returns ``var, t, z, y, x`` (the family's) ``, place`` (members in order, then mid-range and mean), ``predictor, zeros``.
     """
+    grid = grid.along_curve
     kind, width = grid.meta.elem, grid.meta.elem.width
     starts = grid.meta.domain.starts(grid.meta.layout)
     offsets = face_offsets(grid)
@@ -273,6 +278,7 @@ def dense_index(df: DataFrame, key: str, by: tuple[str, ...] = ("var",), bucket_
 
 def extremes(grid: Grid) -> DataFrame:
     """Per family in Morton order ``var, m, i`` and its largest and smallest value with their cells' centres; no smallest one where all are equal."""
+    grid = grid.along_curve
     starts = dict(zip(grid.axes, grid.meta.domain.starts(grid.meta.layout), strict=True))
     centre = [(F.col(a) - starts[a] + F.lit(0.5)).alias(a) for a in grid.axes]
     rows = grid.df.select("var", morton_of(grid.axes, grid.meta.domain.starts(grid.meta.layout)).alias("c"), "value", F.struct(*centre).alias("at"))
@@ -287,9 +293,10 @@ def scanline(coarse: DataFrame, length: int = 53, bucket: int = 4096) -> DataFra
 
     Families are dealt by ranges of their place with halos, so no order over all rows is needed.
     """
-    half = (length - 1) // 2
+    half, bucket = (length - 1) // 2, max(bucket, length)
     place = F.col("i")
-    homes = F.array(F.call_function("div", place, long(bucket)), F.call_function("div", F.greatest(place - half, long(0)), long(bucket)), F.call_function("div", place + length, long(bucket)))
+    # a family is in the lines of those from length - 1 before to half after it
+    homes = F.array(*[F.call_function("div", F.greatest(p, long(0)), long(bucket)) for p in (place, place - (length - 1), place + half)])
     rows = coarse.withColumn("b", F.explode(F.array_distinct(homes)))
     w = W.partitionBy("var", "b").orderBy("i").rowsBetween(-half, length - 1)
     rows = rows.withColumn("line", F.collect_list(F.struct("i", "high", "low")).over(w))
@@ -303,6 +310,7 @@ def scanline_prediction(grid: Grid, length: int = 53, nearest: int = 6, power: i
 
     Returns ``var, t, z, y, x, value, prediction``; a cell that is itself a point is predicted by its value.
     """
+    grid = grid.along_curve
     starts = dict(zip(grid.axes, grid.meta.domain.starts(grid.meta.layout), strict=True))
     lines = scanline(extremes(grid), length).select("var", F.col("m").alias("up"), "line")
     points = F.concat(F.transform("line", lambda x: x["high"]), F.transform(F.filter("line", lambda x: x["low"].isNotNull()), lambda x: x["low"]))

@@ -67,6 +67,11 @@ class Layout:
     def dimensionality(self) -> int:
         return len(self.dims)
 
+    @property
+    def curve(self) -> Layout:
+        """The same dimensions as the Morton curve takes them, whatever their order: Lon last, as it has the lowest bit."""
+        return Layout(tuple(d for d in reversed(DIMENSIONS) if d in self.dims))
+
     def without(self, dim: str) -> Layout:
         return Layout(tuple(d for d in self.dims if d != dim))
 
