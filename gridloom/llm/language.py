@@ -144,6 +144,8 @@ def fuse(rows: DataFrame, names: list[str]) -> DataFrame:
     domains = domains.select("domain", F.zip_with("n", world, lambda n, w: n + DOMAIN_STRENGTH * w).alias("p")).select("domain", F.transform("p", lambda x: x / add(F.col("p"))).alias("p"))
     hosts = hosts.join(domains, "domain").select("host", "domain", F.zip_with(as_array(), "p", lambda n, p: n + HOST_STRENGTH * p).alias("q")).select("host", "domain", F.transform("q", lambda x: F.log(x / add(F.col("q")))).alias("prior"))
 
+    hosts = written(hosts, shared_folder(rows.sparkSession), "hosts")  # a plain side of the join below, so Spark can split a host with many rows
+
     def likely(column: str) -> DataFrame:
         """log P(value | language), with a few rows of each language spread evenly over the values."""
         counts = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(*sums)
