@@ -70,7 +70,8 @@ def abs_difference(a: Column, b: Column, width: int) -> Column:
 
 
 def leading_zeros(x: Column, width: int) -> Column:
-    return F.when(x == 0, F.lit(width)).otherwise(F.lit(width) - F.length(F.bin(x)))
+    """``width`` for 0. The pattern stands in it once, as it may be a large expression."""
+    return F.lit(width) - F.length(F.ltrim(F.bin(x), F.lit("0")))
 
 
 def trailing_zeros(x: Column, width: int) -> Column:

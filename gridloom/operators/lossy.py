@@ -18,7 +18,7 @@ from gridloom.functions.deviation import absolute, complies, relative
 from gridloom.functions.families import approx_equal, unless_missing
 from gridloom.functions.symbols import SIGN, quantized, residual_bin, signed_zeros
 from gridloom.operators.grid import Grid
-from gridloom.operators.pyramid import TILE_LEVELS, MultiResScheme, PrefixScheme, Pyramid, climb, compress_cells, decompress_cells, grid_from_cells
+from gridloom.operators.pyramid import MultiResScheme, PrefixScheme, Pyramid, Step, climb, compress_cells, decompress_cells, grid_from_cells, spans
 from gridloom.plans.domain import COORDS, GridMeta
 from gridloom.plans.errors import ErrorRules
 from gridloom.plans.storage import shared_folder, written
@@ -52,28 +52,24 @@ def adaptive_coarsening(grid: Grid, rules: ErrorRules, skip_missing: bool = True
             both = F.avg(v.cast("double")).over(w)
         return F.coalesce(both.cast(kind.spark), F.lit(meta.missing).cast(kind.spark))
 
-    def step(df: DataFrame, w, corner: Column, level: int, into: str) -> DataFrame:
+    def step(df: DataFrame, w, corner: Column, level: int, into: str) -> Step:
         df = df.withColumns({"_c": interpolated(w), "_n": F.count("v").over(w), "_places": F.count_if("lead").over(w)})
         dev = F.when(gap(F.col("v")), F.lit(0.0)).otherwise(absolute(F.col("v"), F.col("_c"), F.col("err")))
         rel = F.when(gap(F.col("v")), F.lit(0.0)).otherwise(relative(F.col("v"), F.col("_c"), F.col("err")))
         df = df.withColumns({"_dev": dev, "_ok": complies(dev, rel, F.col("abs_eps"), F.col("rel_eps"))})
         df = df.withColumns({"_all": F.bool_and(F.when(F.col("v").isNotNull(), F.col("_ok"))).over(w) & (F.col("_n") == F.col("_places")), "_most": F.max("_dev").over(w), "_abs": F.min("abs_eps").over(w), "_rel": F.min("rel_eps").over(w)})
-        stays = F.col("v").isNotNull() & ~F.col("_all")
-        df = df.withColumn(into, F.when(stays, F.struct(F.lit(level).alias("level"), F.col("v").alias("value"), F.col("err").alias("err"))))
+        stays = F.when(F.col("v").isNotNull() & ~F.col("_all"), F.struct(F.lit(level).alias("level"), F.col("v").alias("value"), F.col("err").alias("err")))
         up = corner & F.col("_all")
-        new = {"v": "_c", "err": "_most", "abs_eps": "_abs", "rel_eps": "_rel"}
-        return df.withColumns({c: F.when(up, F.col(n)) for c, n in new.items()}).drop("_c", "_n", "_places", "_dev", "_ok", "_all", "_most", "_abs", "_rel")
+        return df, {into: stays} | {c: F.when(up, F.col(n)) for c, n in {"v": "_c", "err": "_most", "abs_eps": "_abs", "rel_eps": "_rel"}.items()}
 
     state = ("v", "err", "abs_eps", "rel_eps")
     now = bounded_cells(grid, rules).withColumn("err", F.lit(0.0)).select("var", "m", *state)
-    folder, parts, level = shared_folder(grid.df.sparkSession), [], 0
-    while level < depth:
-        levels = min(TILE_LEVELS[dim], depth - level)
-        tiles = written(climb(now, dim, depth, level, levels, step), f"{folder}/coarse-{level}")
+    folder, parts = shared_folder(grid.df.sparkSession), []
+    for level, levels in spans(dim, depth):
+        tiles = written(climb(now, dim, level, levels, step), f"{folder}/coarse-{level}")
         structs = F.array(*[F.when(F.col(f"r{j}").isNotNull(), F.struct(ancestor(F.col("m"), dim, j).alias("m"), F.col(f"r{j}").alias("r"))) for j in range(levels)])
         parts.append(tiles.select("var", F.explode(F.filter(structs, lambda x: x.isNotNull())).alias("e")).select("var", F.col("e.r.level").alias("level"), F.col("e.m").alias("m"), F.col("e.r.value").alias("value"), F.col("e.r.err").alias("err")))
         now = tiles.filter("lead").select("var", ancestor(F.col("m"), dim, levels).alias("m"), *state)
-        level += levels
     top = now.filter(F.col("v").isNotNull()).select("var", F.lit(depth).alias("level"), "m", F.col("v").alias("value"), "err")
     return reduce(lambda a, b: a.unionByName(b), [*parts, top])
 
@@ -158,21 +154,20 @@ def _predictors(grid: Grid, rules: ErrorRules, folder: str) -> list[DataFrame]:
     kind, dim, depth = grid.meta.elem, grid.meta.dimensionality, grid.meta.depth
     scheme = MultiResScheme(kind)
 
-    def step(df: DataFrame, w, corner: Column, level: int, into: str) -> DataFrame:
-        df = scheme.moved(scheme.predicted(df, w, corner), corner)
-        df = df.withColumns({"abs_eps": F.min("abs_eps").over(w), "rel_eps": F.min("rel_eps").over(w)})
-        return df.withColumn(into, F.when(F.col("bits").isNotNull(), F.struct("bits", "abs_eps", "rel_eps")))
+    def step(df: DataFrame, w, corner: Column, level: int, into: str) -> Step:
+        df = scheme.predicted(df, w, corner).withColumns({"_abs": F.min("abs_eps").over(w), "_rel": F.min("rel_eps").over(w)})
+        up = {"bits": F.col("_pb"), "abs_eps": F.col("_abs"), "rel_eps": F.col("_rel")}
+        made = F.when(corner, F.struct(*[c.alias(n) for n, c in up.items()]))
+        return df, {into: made, "v": F.when(corner, F.col("_pv"))} | {n: F.when(corner, c) for n, c in up.items()}
 
     m = morton_of(grid.axes, grid.meta.domain.starts(grid.meta.layout))
     now = rules.restricting(grid.df).select("var", m.alias("m"), to_bits(F.col("value"), kind).alias("bits"), F.col("value").alias("v"), "abs_eps", "rel_eps")
-    out, level = [], 0
-    while level < depth:
-        levels = min(TILE_LEVELS[dim], depth - level)
+    out = []
+    for level, levels in spans(dim, depth):
         held = now.withColumn("own", F.struct("bits", "abs_eps", "rel_eps"))
-        tiles = written(climb(held, dim, depth, level, levels, step), f"{folder}/predictors-{level}")
+        tiles = written(climb(held, dim, level, levels, step), f"{folder}/predictors-{level}")
         out.append(tiles)
-        now = tiles.filter(F.col("bits").isNotNull()).select("var", ancestor(F.col("m"), dim, levels).alias("m"), "bits", "v", "abs_eps", "rel_eps")
-        level += levels
+        now = tiles.filter("lead").select("var", ancestor(F.col("m"), dim, levels).alias("m"), "bits", "v", "abs_eps", "rel_eps")
     return out
 
 
@@ -187,10 +182,9 @@ def compress_trimmed(grid: Grid, rules: ErrorRules) -> Pyramid:
         raise ValueError("trimmed residuals take types of up to 64 bits that Spark holds as numbers")
     folder = shared_folder(grid.df.sparkSession)
     tables = _predictors(grid, rules, folder)
-    top = tables[-1]
-    levels = min(TILE_LEVELS[dim], depth - TILE_LEVELS[dim] * (len(tables) - 1))
-    root = top.filter(F.col("bits").isNotNull()).select("var", ancestor(F.col("m"), dim, levels).alias("m"), "bits", F.lit(width).alias("len"))
-    coarse, parts, level = root.select("var", "m", "bits"), [], depth
+    levels = spans(dim, depth)[-1][1]
+    root = tables[-1].filter("lead").select("var", ancestor(F.col("m"), dim, levels).alias("m"), "bits", F.lit(width).alias("len"))
+    coarse, parts = root.select("var", "m", "bits"), []
 
     def trim(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -199,9 +193,8 @@ def compress_trimmed(grid: Grid, rules: ErrorRules) -> Pyramid:
             less, diff, now = truncation.minimal_residuals(approx.copy(), real.copy(), kind, *eps)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(less), pa.array(diff), pa.array(now)], names=["var", "m", "less", "diff", "bits"])
 
-    for step, tiles in reversed([*enumerate(tables)]):
-        base = step * TILE_LEVELS[dim]
-        for j in range(level - base - 1, -1, -1):
+    for (base, levels), tiles in reversed([*zip(spans(dim, depth), tables, strict=True)]):
+        for j in range(levels - 1, -1, -1):
             # the cells of level base + j against their parents as restored
             source = F.col("own") if j == 0 else F.col(f"r{j - 1}")
             real = tiles.select("var", ancestor(F.col("m"), dim, j).alias("m"), source.alias("s")).filter(F.col("s").isNotNull())
@@ -211,7 +204,6 @@ def compress_trimmed(grid: Grid, rules: ErrorRules) -> Pyramid:
             done = written(done, f"{folder}/trimmed-{base + j}")
             parts.append(done.withColumn("level", F.lit(base + j)))
             coarse = done.select("var", "m", "bits")
-        level = base
     rows = reduce(lambda a, b: a.unionByName(b), parts)
     rows = rows.withColumns({"_z": leading_zeros(F.col("diff"), width), "tail": trailing_zeros(F.col("diff"), width)})
     nbits = F.greatest(F.lit(width - 2) - F.col("_z") - F.col("tail"), F.lit(0))

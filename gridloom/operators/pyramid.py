@@ -28,7 +28,7 @@ from gridloom.plans.domain import COORDS, Domain, GridMeta, pyramid_dims
 from gridloom.plans.storage import shared_folder, written
 from gridloom.plans.types import Elem
 
-#: Levels that a tile climbs at a time, by dimensionality: 64 to 256 cells per tile.
+#: Levels that a tile of cells climbs at a time, by dimensionality (64 to 256 cells); further up, where few are left, twice as many.
 TILE_LEVELS = {1: 6, 2: 3, 3: 2, 4: 2}
 RESIDUAL = "var string, level int, m bigint, nbits int, payload bigint, symbol bigint"
 _RES = "struct<level:int,nbits:int,payload:bigint,symbol:bigint>"
@@ -50,18 +50,31 @@ class Pyramid:
         return pyramid_dims(self.meta.lengths, self.depth)
 
 
+def spans(dim: int, depth: int, start: int = 0) -> list[tuple[int, int]]:
+    """(first level, number of levels) of each tile step."""
+    out, step = [], TILE_LEVELS[dim]
+    while start < depth:
+        out.append((start, min(step, depth - start)))
+        start, step = start + step, 2 * TILE_LEVELS[dim]
+    return out
+
+
 def keys(dim: int, levels: int, m: str = "m") -> dict[str, Column]:
     """Ancestors 1 to ``levels`` above, as columns ``a1, a2, ...``."""
     return {f"a{j}": ancestor(F.col(m), dim, j) for j in range(1, levels + 1)}
 
 
-def family_window(levels: int, j: int, by: tuple[str, ...] = ("var",)):
+def family_window(levels: int, j: int, by: tuple[str, ...] = ("tile", "var")):
     """The cells below one ancestor j levels up. All these windows of a tile ask for the same partitioning prefix and sort order."""
     part = [*by, *[f"a{i}" for i in range(levels, j - 1, -1)]]
     order = [f"a{i}" for i in range(j - 1, 0, -1)] + ["m"]
     return W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
 
 
+#: A table and the columns that a step adds to it or replaces in it.
+Step = tuple[DataFrame, dict[str, Column]]
+
+
 class Scheme:
     """A coarsening step and its inverse over window columns. State columns are null on rows that stand for no cell of the level."""
 
@@ -74,8 +87,11 @@ class Scheme:
     def start(self, df: DataFrame) -> DataFrame:
         raise NotImplementedError
 
-    def step(self, df: DataFrame, w, corner: Column, level: int, into: str) -> DataFrame:
-        """Moves the state up one level and puts the residual struct of the level into a column."""
+    def step(self, df: DataFrame, w, corner: Column, level: int, into: str) -> Step:
+        """The table with what the step needs, and its new columns: the state one level up and the level's residual struct.
+
+        Names of helper columns start with an underscore; they go when the tile is done.
+        """
         raise NotImplementedError
 
     def combine(self, bits: Column, length: Column) -> tuple[Column, Column]:
@@ -104,14 +120,12 @@ class PrefixScheme(Scheme):
             return df
         return df.withColumn("len", F.lit(self.width))
 
-    def step(self, df: DataFrame, w, corner: Column, level: int, into: str) -> DataFrame:
+    def step(self, df: DataFrame, w, corner: Column, level: int, into: str) -> Step:
         df = df.withColumns({"_or": F.bit_or("bits").over(w), "_and": F.bit_and("bits").over(w), "_least": F.min("len").over(w)})
         df = df.withColumn("_front", family_prefix(F.col("_or"), F.col("_and"), F.col("_least"), self.width))
         rest = F.col("len") - F.col("_front")
         res = _residual(level, rest, payload(F.col("bits"), F.col("_front"), rest, self.width), rest)
-        df = df.withColumn(into, F.when(F.col("bits").isNotNull(), res))
-        df = df.withColumns({"bits": F.when(corner, keep_front(F.col("_or"), F.col("_front"), self.width)), "len": F.when(corner, F.col("_front"))})
-        return df.drop("_or", "_and", "_least", "_front")
+        return df, {into: F.when(F.col("bits").isNotNull(), res), "bits": F.when(corner, keep_front(F.col("_or"), F.col("_front"), self.width)), "len": F.when(corner, F.col("_front"))}
 
     def length(self) -> Column:
         return F.col("len")
@@ -135,20 +149,17 @@ class _FamilyScheme(Scheme):
 
     def predicted(self, df: DataFrame, w, corner: Column) -> DataFrame:
         """Adds the predictor ``_p`` (bits and value) of each row's family."""
-        df = df.withColumn("_fam", F.collect_list(F.when(F.col("bits").isNotNull(), F.struct("bits", "v"))).over(w))
-        df = df.withColumn("_fam", F.when(corner, F.col("_fam")))  # computed once per family
-        values = F.transform("_fam", lambda x: x["v"])
-        df = df.withColumn("_mid", F.when(corner, array_mid_range(values, self.kind))).withColumn("_mean", F.when(corner, array_mean(values, self.kind)))
+        df = df.withColumn("_fam", F.when(corner, F.collect_list(F.when(F.col("bits").isNotNull(), F.struct("bits", "v"))).over(w)))
+        values = F.transform("_fam", lambda x: x["v"])  # null but at the corner, so each family's predictor is computed once
+        df = df.withColumns({"_mid": array_mid_range(values, self.kind), "_mean": array_mean(values, self.kind)})
         both = [F.struct(to_bits(F.col(c), self.kind).alias("bits"), F.col(c).alias("v")) for c in ("_mid", "_mean")]
         df = df.withColumn("_cand", F.when(corner, F.concat(F.col("_fam"), F.array(*both))))
         fam, cand = F.transform("_fam", lambda x: x["bits"]), F.transform("_cand", lambda x: x["bits"])
-        df = df.withColumn("_at", F.when(corner, self.best(fam, cand)))
-        df = df.withColumn("_p", F.when(corner, F.get("_cand", F.col("_at") - 1)))
-        df = df.withColumns({"_pb": F.max("_p.bits").over(w), "_pv": F.max("_p.v").over(w)})
-        return df.drop("_fam", "_mid", "_mean", "_cand", "_at", "_p")
+        df = df.withColumn("_p", F.when(corner, F.get("_cand", self.best(fam, cand) - 1)))
+        return df.withColumns({"_pb": F.max("_p.bits").over(w), "_pv": F.max("_p.v").over(w)})
 
-    def moved(self, df: DataFrame, corner: Column) -> DataFrame:
-        return df.withColumns({"bits": F.when(corner, F.col("_pb")), "v": F.when(corner, F.col("_pv"))}).drop("_pb", "_pv")
+    def moved(self, corner: Column) -> dict[str, Column]:
+        return {"bits": F.when(corner, F.col("_pb")), "v": F.when(corner, F.col("_pv"))}
 
 
 class MultiResScheme(_FamilyScheme):
@@ -159,15 +170,13 @@ class MultiResScheme(_FamilyScheme):
     def best(self, family: Column, candidates: Column) -> Column:
         return best_by_zeros(family, candidates, self.width)
 
-    def step(self, df: DataFrame, w, corner: Column, level: int, into: str) -> DataFrame:
-        df = self.predicted(df, w, corner)
+    def step(self, df: DataFrame, w, corner: Column, level: int, into: str) -> Step:
         greater, diff = residual(F.col("_pb"), F.col("bits"), self.width)
-        df = df.withColumns({"_d": diff, "_g": greater}).withColumn("_z", leading_zeros(F.col("_d"), self.width))
+        df = self.predicted(df, w, corner).withColumns({"_d": diff, "_g": greater}).withColumn("_z", leading_zeros(F.col("_d"), self.width))
         nbits = F.greatest(F.lit(self.width - 1) - F.col("_z"), F.lit(0))
         body = payload(F.col("_d"), F.lit(self.width) - nbits, nbits, self.width)
         res = _residual(level, nbits, body, signed_zeros(F.col("_z"), ~F.col("_g"), self.width))
-        df = df.withColumn(into, F.when(F.col("bits").isNotNull(), res)).drop("_d", "_g", "_z")
-        return self.moved(df, corner)
+        return df, {into: F.when(F.col("bits").isNotNull(), res)} | self.moved(corner)
 
     def combine(self, bits: Column, length: Column) -> tuple[Column, Column]:
         added = F.col("symbol") >= SIGN
@@ -191,13 +200,11 @@ class XorScheme(_FamilyScheme):
         n = F.size(family)
         return best_by_xor(family, F.get(candidates, n), F.get(candidates, n + 1), self.width)
 
-    def step(self, df: DataFrame, w, corner: Column, level: int, into: str) -> DataFrame:
-        df = self.predicted(df, w, corner)
-        df = df.withColumn("_x", F.col("bits").bitwiseXOR(F.col("_pb")))
+    def step(self, df: DataFrame, w, corner: Column, level: int, into: str) -> Step:
+        df = self.predicted(df, w, corner).withColumn("_x", F.col("bits").bitwiseXOR(F.col("_pb")))
         df = df.withColumn("_z", F.least(leading_zeros(F.bit_or("_x").over(w), self.width), F.lit(self.MOST)))
-        nbits = F.lit(self.width) - F.col("_z")
-        df = df.withColumn(into, F.when(F.col("bits").isNotNull(), _residual(level, nbits, F.col("_x"), F.when(corner, F.col("_z"))))).drop("_x", "_z")
-        return self.moved(df, corner)
+        res = _residual(level, F.lit(self.width) - F.col("_z"), F.col("_x"), F.when(corner, F.col("_z")))
+        return df, {into: F.when(F.col("bits").isNotNull(), res)} | self.moved(corner)
 
     def combine(self, bits: Column, length: Column) -> tuple[Column, Column]:
         return bits.bitwiseXOR(F.col("payload")), length
@@ -206,19 +213,22 @@ class XorScheme(_FamilyScheme):
 SCHEMES: dict[str, type[Scheme]] = {"prefix": PrefixScheme, "multires": MultiResScheme, "xor": XorScheme}
 
 
-def climb(df: DataFrame, dim: int, depth: int, start_level: int, levels: int, step: Callable[[DataFrame, object, Column, int, str], DataFrame]) -> DataFrame:
+def climb(df: DataFrame, dim: int, start_level: int, levels: int, step: Callable[[DataFrame, object, Column, int, str], Step]) -> DataFrame:
     """``levels`` steps from ``start_level``: one shuffle by tile, one sort. Adds ``r0, r1, ...``, one per step, and ``lead``.
 
     A parent is represented by its first row (its corner cell, where there is one); ``lead`` marks the rows that stand for a
     node of the level reached.
     """
     df = df.select("var", "m", *[c for c in df.columns if c not in ("var", "m")]).withColumns(keys(dim, levels) | {"lead": F.lit(True)})
+    # the finest window comes first, so rows are dealt by tile beforehand; all windows have the tile as their first key
+    df = df.withColumn("tile", F.xxhash64("var", f"a{levels}")).repartition("tile")
     for j in range(1, levels + 1):
         w = family_window(levels, j)
         df = df.withColumn("_first", F.min(F.when(F.col("lead"), F.col("m"))).over(w))
         corner = F.col("lead") & (F.col("m") == F.col("_first"))
-        df = step(df, w, corner, start_level + j - 1, f"r{j - 1}").withColumn("lead", corner).drop("_first")
-    return df.drop(*keys(dim, levels))
+        df, new = step(df, w, corner, start_level + j - 1, f"r{j - 1}")
+        df = df.withColumns(new | {"lead": corner})
+    return df.select(*[c for c in df.columns if c[0] != "_" and c != "tile" and c not in keys(dim, levels)])
 
 
 def _emitted(df: DataFrame, dim: int, levels: int, kind: str = _RES) -> DataFrame:
@@ -240,23 +250,20 @@ def compress_cells(cells: DataFrame, dim: int, depth: int, scheme: Scheme, meta:
     cells that go on.
     """
     folder = folder or shared_folder(cells.sparkSession)
-    now, parts, level = scheme.start(cells).select("var", "m", *scheme.state), [], 0
-    while level < depth:
-        levels = min(TILE_LEVELS[dim], depth - level)
-        tiles = written(climb(now, dim, depth, level, levels, scheme.step), f"{folder}/tiles-{level}")
+    now, parts = scheme.start(cells).select("var", "m", *scheme.state), []
+    for level, levels in spans(dim, depth):
+        tiles = written(climb(now, dim, level, levels, scheme.step), f"{folder}/tiles-{level}")
         parts.append(_emitted(tiles, dim, levels))
         now = tiles.filter("lead").select("var", ancestor(F.col("m"), dim, levels).alias("m"), *scheme.state)
-        level += levels
     residuals = reduce(lambda a, b: a.unionByName(b), parts)
     return Pyramid(scheme.name, meta, depth, residuals, scheme.root(now))
 
 
 def decompress_cells(pyramid: Pyramid, dim: int, scheme: Scheme, stop: int = 0) -> DataFrame:
     """``var, m, bits, len`` of level ``stop``: per tile of several levels one shuffle and one sort of residuals and their coarse cells."""
-    now, top = pyramid.root.select("var", "m", "bits", F.col("len").cast("int").alias("len")), pyramid.depth
-    while top > stop:
-        base = max(stop, top - TILE_LEVELS[dim])
-        levels = top - base
+    now = pyramid.root.select("var", "m", "bits", F.col("len").cast("int").alias("len"))
+    for base, levels in reversed(spans(dim, pyramid.depth, stop)):
+        top = base + levels
         none = {"bits": F.lit(None).cast("bigint"), "len": F.lit(None).cast("int")}
         fine = pyramid.residuals.filter((F.col("level") >= base) & (F.col("level") < top)).select("var", (F.col("level") - base).alias("o"), "m", "nbits", "payload", "symbol", *[c.alias(n) for n, c in none.items()])
         coarse = now.select("var", F.lit(levels).alias("o"), "m", F.lit(None).cast("int").alias("nbits"), F.lit(None).cast("bigint").alias("payload"), F.lit(None).cast("bigint").alias("symbol"), "bits", "len")
@@ -271,7 +278,7 @@ def decompress_cells(pyramid: Pyramid, dim: int, scheme: Scheme, stop: int = 0)
             bits, length = scheme.combine(F.col("_b"), F.col("_l"))
             here = F.col("o") == j
             rows = rows.withColumns({"bits": F.when(here, bits).otherwise(F.col("bits")), "len": F.when(here, length).otherwise(F.col("len"))}).drop("_b", "_l")
-        now, top = rows.filter(F.col("o") == 0).select("var", "m", "bits", "len"), base
+        now = rows.filter(F.col("o") == 0).select("var", "m", "bits", "len")
     return now
 
 
@@ -307,19 +314,16 @@ def mean_levels(grid: Grid, depth: int | None = None) -> DataFrame:
     kind, dim = grid.meta.elem, grid.meta.dimensionality
     depth = grid.meta.depth if depth is None else depth
 
-    def step(df: DataFrame, w, corner: Column, level: int, into: str) -> DataFrame:
-        df = df.withColumn("v", F.when(corner, F.avg(F.col("v").cast("double")).over(w).cast(kind.spark)))
-        return df.withColumn(into, F.when(F.col("v").isNotNull(), F.struct(F.lit(level + 1).alias("level"), F.col("v").alias("value"))))
+    def step(df: DataFrame, w, corner: Column, level: int, into: str) -> Step:
+        df = df.withColumn("_mean", F.avg(F.col("v").cast("double")).over(w).cast(kind.spark))
+        return df, {"v": F.when(corner, F.col("_mean")), into: F.when(corner, F.struct(F.lit(level + 1).alias("level"), F.col("_mean").alias("value")))}
 
-    now, parts, level = with_values(grid), [], 0
-    folder = shared_folder(grid.df.sparkSession)
-    while level < depth:
-        levels = min(TILE_LEVELS[dim], depth - level)
-        tiles = written(climb(now, dim, depth, level, levels, step), f"{folder}/means-{level}")
+    now, parts, folder = with_values(grid), [], shared_folder(grid.df.sparkSession)
+    for level, levels in spans(dim, depth):
+        tiles = written(climb(now, dim, level, levels, step), f"{folder}/means-{level}")
         structs = F.array(*[F.when(F.col(f"r{j}").isNotNull(), F.struct(ancestor(F.col("m"), dim, j + 1).alias("m"), F.col(f"r{j}").alias("r"))) for j in range(levels)])
         parts.append(tiles.select("var", F.explode(F.filter(structs, lambda x: x.isNotNull())).alias("e")).select("var", F.col("e.r.level").alias("level"), F.col("e.m").alias("m"), F.col("e.r.value").alias("value")))
         now = tiles.filter("lead").select("var", ancestor(F.col("m"), dim, levels).alias("m"), "v")
-        level += levels
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

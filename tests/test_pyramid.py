@@ -226,8 +226,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["compress", "-t", "float", "-i", a, "-o", str(tmp_path / "p"), "-v", "w", "-d", "3", "-s", "2 3 4", "--scheme", "multires"]) == 0
     assert cli.main(["decompress", "-t", "float", "-i", str(tmp_path / "p"), "-o", b, "-v", "w"]) == 0
     assert cli.main(["compare", "-t", "float", "-i", a, "-o", b]) == 0 and "equal" in capsys.readouterr().out
-    (v + 1).astype(np.float32).tofile(b)
-    assert cli.main(["compare", "-t", "float", "-i", a, "-o", b]) == 1
+    c = str(tmp_path / "other.bin")
+    (v + 1).astype(np.float32).tofile(c)
+    assert cli.main(["compare", "-t", "float", "-i", a, "-o", c]) == 1
     with pytest.raises(ValueError):
         cli.decompress_file(spark, "double", str(tmp_path / "p"), b, "w")
 
