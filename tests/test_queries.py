@@ -18,6 +18,22 @@ def con():
     return oracle.connect(SMALLEST)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_pyramids():
+    """Queries over the same grid and scheme share one pyramid here, to save time."""
+    made, real = {}, grids.compress
+
+    def once(grid, scheme="prefix", folder=None):
+        key = (repr(grid.meta), scheme)
+        if key not in made:
+            made[key] = real(grid, scheme, folder)
+        return made[key]
+
+    grids.compress = once
+    yield
+    grids.compress = real
+
+
 @pytest.mark.parametrize("name", sorted(grids.oracle_sql()))
 def test_against_sql(spark, con, name):
     assert oracle.compare(grids.queries()[name](spark, SMALLEST), con, grids.oracle_sql()[name]) is None
