@@ -26,8 +26,12 @@ _HEAD = struct.Struct(">6i")
 _NAMES = {"prefix": "PatchPrefixExtractionPlainSuffixes", "multires": "PatchMultiResExtraction"}
 
 
+#: Fixed value: the suffix of the format's files.
+SUFFIX = ".cmc"
+
+
 def file_name(prefix: str, variable: str) -> str:
-    return f"{prefix}_{variable}.cmc"
+    return f"{prefix}_{variable}{SUFFIX}"
 
 
 def header(pyramid: Pyramid) -> bytes:
