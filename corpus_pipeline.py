@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import pack, quality, rules, simhash, substring
+from gridloom.llm import pack, quality, rules, similar, substring
 from gridloom.llm.common import shared_folder, table, written
 
 
@@ -31,8 +31,8 @@ def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id; rows without an id stay."""
-    stay = simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id; rows without an id stay."""
+    stay = similar.near_copies(docs).filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(stay, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null")).select(docs.columns)
 
 

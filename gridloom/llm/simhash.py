@@ -39,6 +39,18 @@ def shingle_hashes(df: DataFrame, id_col: str, text_col: str, width: int = 3) ->
     return rows.select("doc_id", F.when(F.col("n") >= width, shingles).when(F.col("n") > 0, whole).otherwise(F.array().cast("array<bigint>")).alias("h"))
 
 
+def majority(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The bits that over half of each run of ``counts`` values have; zero for none."""
+    out = np.zeros(len(counts), np.uint64)
+    full = np.flatnonzero(counts)
+    if len(full):
+        starts = np.cumsum(counts[full]) - counts[full]
+        for bit in range(64):
+            ones = np.add.reduceat(((values >> np.uint64(bit)) & np.uint64(1)).astype(np.uint32), starts)
+            out[full] |= (2 * ones.astype(np.int64) > counts[full]).astype(np.uint64) << np.uint64(bit)
+    return out
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """``doc_id, fp``: the 64-bit SimHash of every whole text, repeats of shingles included; zero for texts without words."""
 
@@ -46,14 +58,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in rows:
             column = batch.column(1)
             values = np.asarray(column.flatten()).view(np.uint64)
-            counts = np.diff(np.asarray(column.offsets)).astype(np.int64)
-            out = np.zeros(len(counts), np.uint64)
-            full = np.flatnonzero(counts)
-            if len(full):
-                starts = np.cumsum(counts[full]) - counts[full]
-                for bit in range(64):
-                    ones = np.add.reduceat(((values >> np.uint64(bit)) & np.uint64(1)).astype(np.uint32), starts)
-                    out[full] |= (2 * ones.astype(np.int64) > counts[full]).astype(np.uint64) << np.uint64(bit)
+            out = majority(values, np.diff(np.asarray(column.offsets)).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
 
     return shingle_hashes(df, id_col, text_col, width).mapInArrow(run, "doc_id long, fp long")

@@ -13,7 +13,7 @@ from conftest import SMALLEST
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridloom.llm import queries, simhash, substring
+from gridloom.llm import queries, similar, simhash, substring
 from gridloom.llm.common import shared_folder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -115,6 +115,52 @@ def test_near_duplicate_edges(spark):
     assert alone["component_id"] == 0
 
 
+def plain_near_copies(texts):
+    """Smallest number reachable over links of five-word Jaccard similarity 0.8 or more."""
+    sets = []
+    for t in texts:
+        w = WORD.findall(t.lower())
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([tuple(w)]))
+    least = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both) and least[a] != least[b]:
+                x, y = sorted((least[a], least[b]))
+                least = [x if v == y else v for v in least]
+    return least
+
+
+@pytest.mark.parametrize("frequent, rounds", [(4, 3), (10**9, 0)])
+def test_stage_reaches_similarity(spark, monkeypatch, frequent, rounds):
+    """Copies at any number of differing bits are found, and nothing below 0.8 is."""
+    monkeypatch.setattr(similar, "FREQUENT", frequent)
+    monkeypatch.setattr(similar, "ROUNDS", rounds)
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 3000, 150)]
+        for changes in (0, 0, 1, 2, 3, 4, 5, 6):
+            copy = base.copy()
+            for at in rng.choice(150, changes, replace=False):
+                copy[at] = f"z{rng.integers(10**6)}"
+            texts.append(" ".join(copy + ["a", "line", "that", "all", "of", "them", "have"]))
+    want = plain_near_copies(texts)
+    fps = [plain_fingerprint(t) for t in texts]
+    assert len(set(want)) < len(set(plain_components(list(range(len(texts))), fps)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in similar.near_copies(df).collect()} == dict(enumerate(want))
+    kept = corpus_pipeline.deduplicated(spark, df, SMALLEST)
+    assert {r["doc_id"] for r in kept.collect()} == set(want)
+
+
+def test_near_copies_edges(spark):
+    assert similar.near_copies(frame(spark, [])).count() == 0
+    rows = [(None, "a b c d"), (5, "a b c d"), (5, "A b c d"), (9, "something else entirely here"), (None, None)]
+    out = similar.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 5 and {(r["doc_id"], r["component_id"]) for r in out} == {(None, 5), (5, 5), (9, 9), (None, None)}
+
+
 def test_gray_order():
     x = np.arange(256, dtype=np.uint64)
     by_rank = x[np.argsort(simhash.gray_rank(x))]
