@@ -17,8 +17,6 @@ BUCKETS = 1 << 17
 PRIOR = 4.0
 #: Mean log ratio below which a text is rejected.
 THRESHOLD = -0.16
-#: The target is fitted on so many trusted rows at most, the first by a hash of their id.
-TRUSTED = 40_000
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
 
@@ -46,12 +44,13 @@ def _hashed(df: DataFrame, id_col: str, text_col: str, more: tuple[Column, ...]
 def bucket_ratios(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Log ratios of all buckets, comma-separated: a value of fixed size, whatever the corpus.
 
-    ``trusted`` has the ids (``doc_id``) of trusted rows. n-grams of all rows are counted, in one pass and without
-    moving texts: tasks add up before a shuffle of a row per bucket and task.
+    ``trusted`` has the ids (``doc_id``) of trusted rows; all of them count. A plain join marks them, so Spark can split
+    an id with many rows; it moves texts once where the ids are too many for Spark to broadcast. n-grams of all rows are
+    counted in one pass: tasks add up before a shuffle of a row per bucket and task.
     """
-    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED).withColumn("trusted", F.lit(1))
-    rows = _hashed(df, id_col, text_col).join(F.broadcast(ids), "doc_id", "left")  # TRUSTED rows at most
+    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("trusted", F.lit(1))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id", "left")
+    rows = _hashed(rows, "doc_id", "text", (F.col("trusted"),))
     grams = rows.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(F.concat(F.col("h"), _pairs())).alias("g"))
     counts = grams.groupBy(_bucket(F.col("g")).alias("bucket")).agg(F.count("*").alias("raw"), F.sum("trusted").alias("target")).toPandas()
     raw, target = counts["raw"].astype(float), counts["target"].astype(float)

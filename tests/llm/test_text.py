@@ -194,6 +194,12 @@ def test_ratios_part_trusted_from_other_text(spark):
     assert min(score[k] for k in range(39)) > 0 > max(score[k] for k in range(39, 78))
 
 
+def test_all_trusted_rows_count(spark):
+    """Where all of many rows are trusted, no n-gram is more likely on either side."""
+    df = spark.range(50_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id")).alias("text"))
+    assert set(rules.bucket_ratios(df, df).split(",")) == {"0"}
+
+
 # --- quality classifier --------------------------------------------------------------------------------------------
 
 def held_out(doc_id):
