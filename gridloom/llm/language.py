@@ -118,7 +118,7 @@ def evidence(df: DataFrame, id_col: str, text_col: str, url_col: str | None = No
     domain = F.array_join(F.slice(labels, -2, 2), ".") if url_col else host
     domain = F.when(F.size(labels) > 1, domain).otherwise(host)
     text = F.col(text_col).cast("string")
-    markup = F.lower(F.substring(F.nullif(F.regexp_extract(F.substring(text, 1, 4096), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1), F.lit("")), 1, 3)) if html else none
+    markup = F.lower(F.substring(F.nullif(F.regexp_extract(text, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1), F.lit("")), 1, 3)) if html else none
     return df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.lit(html).alias("is_html"), host.alias("host"), domain.alias("domain"), suffix.alias("suffix"), markup.alias("markup"))
 
 

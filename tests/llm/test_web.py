@@ -138,6 +138,11 @@ def test_priors_decide_where_texts_do_not(spark):
     assert (got[98], got[99]) == ("en", "de")
 
 
+def test_markup_is_found_anywhere(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/", "<!-- " + "licence " * 1000 + "-->\n<html class=x lang='de'><p>x</p></html>")], "page_id long, url string, html string")
+    assert language.evidence(pages, "page_id", "html", url_col="url", html=True).first()["markup"] == "de"
+
+
 def test_visible_text():
     assert language.visible(b"<p>a&amp;b</p><!-- no --><script>x</script><STYLE>y</STYLE>c").split() == [b"a", b"b", b"c"]
 
