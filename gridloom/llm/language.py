@@ -1,6 +1,6 @@
 """Language identification by Bayesian evidence fusion.
 
-Hashed byte trigrams, fitted on a bounded sample of labelled texts, give each text a likelihood per language. Over all
+Hashed byte trigrams, fitted on a bounded sample of each language's labelled texts, give each text a likelihood per language. Over all
 rows the languages that texts alone suggest are added up by host, domain, address suffix and declared markup
 language. A host's prior is smoothed towards its domain's, and that towards the corpus's; suffix and markup give
 likelihoods of their own. The posterior is the product of all four kinds of evidence.
@@ -21,8 +21,8 @@ from gridloom.llm.common import batches, flat_bytes, shared_folder, texts, writt
 from gridloom.llm.urls import host_and_path
 
 BUCKETS = 1 << 16
-#: Labelled texts that the likelihoods are fitted on at most, and languages at most (the most frequent).
-SAMPLE, LANGUAGES = 10_000, 64
+#: Labelled texts of each language that the likelihoods are fitted on, about; all texts of a language with fewer.
+SAMPLE = 10_000
 #: Trigrams overlap, so each counts as this part of an independent one.
 WEIGHT = 0.2
 #: Rows that a domain counts for in its hosts' priors, and the corpus in its domains'.
@@ -64,21 +64,25 @@ def _usable(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def fit(df: DataFrame, text_col: str, lang_col: str, id_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(languages in order of name, log likelihood of each language's trigram buckets)."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null and id is not null")
-    names = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    sizes = rows.groupBy("lang").count()
+    names = sorted(r["lang"] for r in sizes.select("lang").collect())  # as many as there are labels
     number = {x: k for k, x in enumerate(names)}
-    chosen = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
+    part = sizes.select("lang", (F.lit(float(sample)) / F.col("count")).alias("part"))
+    chosen = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 32)) < F.col("part") * float(1 << 32)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((max(len(names), 1), BUCKETS), np.int64)
+        total = np.zeros((0, 2), np.int64)  # place in the table of all languages, and count
         for batch in batches(it, 0):
             bucket, text = _usable(*flat_bytes(batch.column(0)))
-            lang = np.array([number.get(x, -1) for x in batch.column(1).to_pylist()])[text]
-            for k in range(len(names)):
-                total[k] += np.bincount(bucket[lang == k], minlength=BUCKETS)
-        lang, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[lang, bucket])], names=["lang", "bucket", "n"])
-
-    counts = rows.join(F.broadcast(chosen), "id", "left_semi").select("text", "lang").mapInArrow(run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+            lang = np.array([number[x] for x in batch.column(1).to_pylist()])[text]
+            now = np.stack(np.unique(lang * BUCKETS + bucket.astype(np.int64), return_counts=True), axis=1)
+            both = np.concatenate([total, now])
+            place, at = np.unique(both[:, 0], return_inverse=True)
+            total = np.stack([place, np.bincount(at, both[:, 1], len(place)).astype(np.int64)], axis=1)
+        lang, bucket = np.divmod(total[:, 0], BUCKETS)
+        yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(np.ascontiguousarray(total[:, 1]))], names=["lang", "bucket", "n"])
+
+    counts = rows.join(F.broadcast(part), "lang").filter(chosen).select("text", "lang").mapInArrow(run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros((len(names), BUCKETS))
     total[counts["lang"], counts["bucket"]] = counts["n"]
     share = total.sum(axis=0) / max(total.sum(), 1) + 1e-9

@@ -138,6 +138,15 @@ def test_priors_decide_where_texts_do_not(spark):
     assert (got[98], got[99]) == ("en", "de")
 
 
+def test_every_label_is_fitted(spark):
+    """However many labels there are, and however rare one is."""
+    rows = [(k, f"lang{k % 70:02d} " * 5, f"l{k % 70:02d}") for k in range(700)] + [(1000, "qqq xyx qqq", "rare")]
+    names, table = language.fit(spark.createDataFrame(rows, "id long, text string, lang string"), "text", "lang", "id", sample=5)
+    assert names == sorted({r[2] for r in rows})
+    bucket, _ = language._usable(np.frombuffer(b"qqq xyx qqq", np.uint8), np.array([0, 11]))
+    assert table[:, bucket].sum(axis=1).argmax() == names.index("rare")
+
+
 def test_markup_is_found_anywhere(spark):
     pages = spark.createDataFrame([(1, "http://a.org/", "<!-- " + "licence " * 1000 + "-->\n<html class=x lang='de'><p>x</p></html>")], "page_id long, url string, html string")
     assert language.evidence(pages, "page_id", "html", url_col="url", html=True).first()["markup"] == "de"
