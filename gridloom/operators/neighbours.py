@@ -22,6 +22,7 @@ from gridloom.functions.families import array_mean, array_mid_range
 from gridloom.operators.grid import Grid
 from gridloom.operators.pyramid import coarsen
 from gridloom.plans.domain import COORDS, Domain
+from gridloom.plans.storage import shared_folder, written
 
 #: Side of a block of cells.
 BLOCK = 32
@@ -111,33 +112,73 @@ def lorenzo_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.count_if("zero").alias("zeros"), F.sqrt(F.avg(F.col("residual") * F.col("residual"))).alias("rmse"))
 
 
-def lorenzo_feedback(grid: Grid, rel_err: float = 1e-6, block: int = BLOCK) -> DataFrame:
-    """Lorenzo prediction where values within the error are replaced at once and predict the next ones.
+#: Cells per side of the blocks that ``lorenzo_feedback`` walks, by number of dimensions.
+_WALKED = {1: 1 << 16, 2: 256, 3: 64, 4: 16}
 
-    Each block of cells is walked in order by itself (its first planes predict, but are not predicted), as the
-    replacement makes every cell depend on those before. Adds ``restored`` and ``zero``.
+
+def lorenzo_feedback(grid: Grid, rel_err: float = 1e-6, block: int | None = None) -> DataFrame:
+    """Lorenzo prediction where values within the error are replaced at once and predict the next ones: adds ``restored`` and ``zero``.
+
+    The first planes of the grid predict, but are not predicted; all other cells are. As a replacement changes what
+    all cells behind it are predicted from, blocks are walked in waves: those whose places add up to the same number
+    don't depend on each other, and each is handed the restored planes before it, which earlier waves have written. Within
+    a block the cells of an anti-diagonal are taken at once. There are as many waves as blocks along all axes together.
     """
-    axes, meta = grid.axes, grid.meta
-    starts = meta.domain.starts(meta.layout)
-    index = [F.call_function("div", F.col(a) - s, long(block)).alias(f"b_{a}") for a, s in zip(axes, starts, strict=True)]
-    corners = lorenzo_offsets(axes)
-    kind = meta.elem
+    axes, meta, spark = grid.axes, grid.meta, grid.df.sparkSession
+    starts, shape = meta.domain.starts(meta.layout), meta.domain.lengths(meta.layout)
+    size = block or _WALKED[len(axes)]
+    kind, folder = meta.elem, shared_folder(spark)
+    names = [f"b_{a}" for a in axes]
+    within = dict(zip(axes, [(F.col(a) - s) % size for a, s in zip(axes, starts, strict=True)], strict=True))
+    corners = [(s, [o.get(a, 0) for a in axes]) for s, o in lorenzo_offsets(axes)]
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = [pdf[a].to_numpy() - pdf[a].min() for a in axes]
-        data = np.full([x.max() + 1 for x in at], np.nan, np.float64)
-        data[tuple(at)] = pdf["value"].to_numpy(dtype=np.float64)
-        zero = np.zeros(data.shape, bool)
-        steps = [(s, tuple(o.get(a, 0) for a in axes)) for s, o in corners]
-        for cell in product(*(range(1, n) for n in data.shape)):
-            p = sum(s * data[tuple(c + d for c, d in zip(cell, o, strict=True))] for s, o in steps)
-            v = data[cell]
-            if abs(p - v) <= rel_err * abs(v):
-                data[cell], zero[cell] = np.dtype(kind.numpy).type(p), True
-        return pdf[["var", *COORDS, "value"]].assign(restored=data[tuple(at)].astype(kind.numpy), zero=zero[tuple(at)])
-
-    schema = f"var string, t long, z long, y long, x long, value {kind.spark}, restored {kind.spark}, zero boolean"
-    return grid.df.select("var", *COORDS, "value", *index).groupBy("var", *[f"b_{a}" for a in axes]).applyInPandas(walk, schema)
+        base = [pdf[b].iloc[0] * size + s - 1 for b, s in zip(names, starts, strict=True)]
+        at = [pdf[a].to_numpy() - o for a, o in zip(axes, base, strict=True)]
+        data = np.full([x.max() + 1 for x in at], np.nan, np.float64)  # the first of each axis: what lies before the block
+        data[tuple(at)] = pdf["restored"].to_numpy(dtype=np.float64)
+        flat, zero = data.reshape(-1), np.zeros(data.size, bool)
+        strides = np.array(data.strides) // data.itemsize
+        inner = np.indices([n - 1 for n in data.shape]).reshape(len(axes), -1) + 1
+        diagonal, place = inner.sum(axis=0), strides @ inner
+        order = np.argsort(diagonal, kind="stable")
+        steps = [(s, int(strides @ np.array(o))) for s, o in corners]
+        for cells in np.split(place[order], np.flatnonzero(np.diff(diagonal[order])) + 1):
+            p = sum(s * flat[cells + o] for s, o in steps)
+            v = flat[cells]
+            hit = np.abs(p - v) <= rel_err * np.abs(v)  # never where a value is lacking
+            flat[cells[hit]] = p[hit].astype(kind.numpy)
+            zero[cells[hit]] = True
+        own = ~pdf["before"].to_numpy()
+        spot = tuple(x[own] for x in at)
+        return pdf.loc[own, ["var", *COORDS, *names, "value"]].assign(restored=data[spot].astype(kind.numpy), zero=zero.reshape(data.shape)[spot])
+
+    columns = f"var string, t long, z long, y long, x long, {', '.join(f'{b} long' for b in names)}, value {kind.spark}"
+    index = [F.call_function("div", F.col(a) - s, long(size)).alias(b) for a, b, s in zip(axes, names, starts, strict=True)]
+    cells = grid.df.select("var", *COORDS, *index, "value").withColumn("wave", reduce(lambda p, q: p + q, [F.col(b) for b in names]).cast("int"))
+    cells.write.partitionBy("wave").parquet(f"{folder}/cells")
+    cells = spark.read.schema(f"{columns}, wave int").parquet(f"{folder}/cells")
+    done: list[DataFrame] = []
+    for wave in range(sum((n - 1) // size for n in shape) + 1):
+        rows = cells.filter(F.col("wave") == wave).withColumns({"restored": F.col("value"), "before": F.lit(False)}).drop("wave")
+        for ahead in product((0, 1), repeat=len(axes)):
+            if 0 < sum(ahead) <= wave:  # the last planes of the block that lies one step before along these axes
+                last = reduce(lambda p, q: p & q, [within[a] == size - 1 for a, s in zip(axes, ahead, strict=True) if s])
+                plane = done[wave - sum(ahead)].filter(last).withColumns({b: F.col(b) + s for b, s in zip(names, ahead, strict=True)} | {"before": F.lit(True)})
+                rows = rows.unionByName(plane.select(*rows.columns))
+        done.append(written(rows.groupBy("var", *names).applyInPandas(_only_own(walk), f"{columns}, restored {kind.spark}, zero boolean"), f"{folder}/wave-{wave}"))
+    return reduce(DataFrame.unionByName, done).select("var", *COORDS, "value", "restored", "zero")
+
+
+def _only_own(walk: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """``walk`` for groups that have cells of their own; what lies before a block that has none predicts nothing."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["before"].all():
+            return pdf.iloc[:0].drop(columns="before").assign(zero=pd.Series([], dtype=bool))
+        return walk(pdf)
+
+    return run
 
 
 # --- reconstruction of fine values from coarse ones and their faces ------------------------------------------------

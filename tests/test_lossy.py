@@ -1,6 +1,7 @@
 """Error bounds of lossy schemes, predictors against plain numpy, quality metrics."""
 
 import math
+from itertools import product
 
 import numpy as np
 import pytest
@@ -143,16 +144,23 @@ def test_lorenzo(spark):
     assert s["n"] == 24 and s["rmse"] > 0
 
 
-def test_lorenzo_with_feedback(spark):
-    a, g = field(spark, (6, 5))
+@pytest.mark.parametrize("shape, layout, block", [((6, 5), "Lat_Lon", None), ((9, 11), "Lat_Lon", 3), ((5, 6, 7), "Lev_Lat_Lon", 2), ((17,), "Lon_", 4)])
+def test_lorenzo_with_feedback(spark, shape, layout, block):
+    """Replaced values predict on over the borders of blocks."""
+    a, g = field(spark, shape, layout)
     want, zero = a.copy(), np.zeros(a.shape, bool)
-    for y in range(1, 6):
-        for x in range(1, 5):
-            p = want[y - 1, x] + want[y, x - 1] - want[y - 1, x - 1]
-            if abs(p - a[y, x]) <= 0.3 * abs(a[y, x]):
-                want[y, x], zero[y, x] = p, True
-    for r in N.lorenzo_feedback(g, 0.3).collect():
-        assert abs(r["restored"] - want[r["y"], r["x"]]) < 1e-9 and r["zero"] == zero[r["y"], r["x"]]
+    for cell in product(*(range(1, n) for n in shape)):
+        p = 0.0
+        for back in product((0, 1), repeat=len(shape)):
+            if any(back):
+                p += (1 if sum(back) % 2 else -1) * want[tuple(c - k for c, k in zip(cell, back, strict=True))]
+        if abs(p - a[cell]) <= 0.3 * abs(a[cell]):
+            want[cell], zero[cell] = p, True
+    rows = N.lorenzo_feedback(g, 0.3, block).collect()
+    assert len(rows) == a.size and zero.any() and not zero.all()
+    for r in rows:
+        cell = tuple(r[x] for x in "tzyx"[4 - len(shape) :])
+        assert abs(r["restored"] - want[cell]) < 1e-9 and r["zero"] == zero[cell]
 
 
 def test_inverse_distances(spark):
