@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import batches, texts
+from gridloom.llm.common import batches, lean, texts
 
 _NONE = np.iinfo(np.int32).max
 #: White space as the tokenizer files' expressions know it; unlike Python's it lacks \x1c to \x1f.
@@ -143,37 +143,52 @@ def load(path: str) -> WordBpe:
 
 
 #: What chunks give, by tokenizer file; a worker process keeps it from task to task.
-_SEEN: dict[str, dict[bytes, tuple[str, str]]] = {}
+_SEEN: dict[str, tuple[dict[bytes, tuple[str, str]], int]] = {}
+#: Bytes that a remembered chunk takes besides its characters.
+_ENTRY = 320
 
 
 class Encoder:
-    """Whole texts to ids and back; remembers what chunks give, up to ``most`` of them."""
-
-    def __init__(self, path: str, most: int = 500_000):
-        self.model, self.most = load(path), most
-        self.seen = _SEEN.setdefault(path, {})
-
-    def learn(self, chunked: list[list[bytes]]) -> None:
-        new = [x for x in set().union(*chunked) if x not in self.seen]
-        if len(self.seen) + len(new) > self.most:
-            self.seen.clear()
-            new = [*set().union(*chunked)]
+    """Whole texts to ids and back; remembers what chunks give, while these and what they give hold ``most`` bytes."""
+
+    #: Chunks of more bytes are not remembered beyond their batch.
+    LONG = 64
+
+    def __init__(self, path: str, most: int = 96 << 20):
+        self.path, self.model, self.most = path, load(path), most
+        self.seen, self.held = _SEEN.setdefault(path, ({}, 0))
+
+    def learn(self, chunked: list[list[bytes]]) -> dict[bytes, tuple[str, str]]:
+        """What the chunks give that are not remembered, for this batch alone or from now on."""
+        every = set().union(*chunked)
+        new = [x for x in every if x not in self.seen]
+        if self.held > self.most:
+            self.seen, self.held = {}, 0
+            new = [*every]
         split = self.model.split(new)
         words = [*set().union(*split) - self.model.specials.keys()]
         numbers, texts_ = self.model.spelled(words)
         as_ids = dict(zip(words, numbers, strict=True)) | {x: str(i) for x, i in self.model.specials.items()}
         as_text = dict(zip(words, texts_, strict=True)) | {x: x for x in self.model.specials}
+        long = {}
         for chunk, one in zip(new, split, strict=True):
             if len(one) == 1:
-                self.seen[chunk] = (as_ids[one[0]], as_text[one[0]])
+                found = (as_ids[one[0]], as_text[one[0]])
+            else:
+                found = (" ".join([as_ids[x] for x in one]), " ".join([as_text[x] for x in one]))
+            if len(chunk) > self.LONG:
+                long[chunk] = found
             else:
-                self.seen[chunk] = (" ".join([as_ids[x] for x in one]), " ".join([as_text[x] for x in one]))
+                self.seen[chunk] = found
+                self.held += len(chunk) + len(found[0]) + len(found[1]) + _ENTRY
+        _SEEN[self.path] = (self.seen, self.held)
+        return long
 
     def ids_and_text(self, chunked: list[list[bytes]]) -> Iterator[tuple[str, str]]:
         """For each text the decimal ids joined by spaces, and the decoded text."""
-        self.learn(chunked)
+        long = self.learn(chunked)
         for chunks in chunked:
-            pairs = [self.seen[x] for x in chunks]
+            pairs = [self.seen.get(x) or long[x] for x in chunks]
             ids, out = [x[0] for x in pairs], [x[1] for x in pairs]
             if "" in ids:  # white space beyond ASCII, or what gives no token
                 ids, out = [x for x in ids if x], [x for x in out if x]
@@ -211,7 +226,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), *(pa.array(out[x], kinds[x]) for x in outputs)], names=["doc_id", "n_tokens", *outputs])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long" + "".join(f", {x} {spark_kinds.get(x, 'string')}" for x in outputs))
+    return rows.mapInArrow(lean(run), "doc_id long, n_tokens long" + "".join(f", {x} {spark_kinds.get(x, 'string')}" for x in outputs))
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,10 @@ def shared_folder(spark: SparkSession) -> str:
     Only where that setting is absent, as in tests, a folder below the warehouse stands in for it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = base or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    if not base:
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+        if not spark.sparkContext.master.startswith("local") and base.startswith(("file:", "/")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
 
 
@@ -42,10 +48,37 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps: it does so once their handles on the driver are garbage.
+
+    Python lets go of its handles in the background, so a second look a moment later finds the rest.
+    """
+    for pause in (0.2, 0):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(pause)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, giving its free memory back when the task ends: workers stay for later tasks and stages."""
+
+    def task(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(rows)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # another C library
+
+    return task
+
+
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, as an array; none for null."""
-    plain = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))
-    return F.array_remove(F.split(plain, " "), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\x0b\x0c\r]+"), "")
 
 
 def batches(rows: Iterator[pa.RecordBatch], column: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -134,3 +167,29 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     within = np.arange(total, dtype=np.int64) - np.repeat(first, lengths)
     values = (data[within + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)) * _powers(int(lengths.max()))[within]
     return mix(np.add.reduceat(values, first) + lengths.astype(np.uint64))
+
+
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+
+
+def joined_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``width`` neighbouring hashes."""
+    out = h
+    for k in range(1, width):
+        out = mix(out[: max(len(h) - k, 0)] * _ODD + h[k:])
+    return out
+
+
+def run_positions(counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(run, place) of every member of runs that have ``counts`` members and begin at ``first``, on end."""
+    run = np.repeat(np.arange(len(counts)), counts)
+    return run, np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
+
+
+def starts_of(*columns: np.ndarray) -> np.ndarray:
+    """Marks rows that differ from the row before in any of the columns."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return new

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import batches, flat_bytes, shared_folder, texts, written
+from gridloom.llm.common import batches, flat_bytes, lean, shared_folder, texts, written
 from gridloom.llm.urls import host_and_path
 
 BUCKETS = 1 << 16
@@ -82,7 +82,7 @@ def fit(df: DataFrame, text_col: str, lang_col: str, id_col: str, sample: int =
         lang, bucket = np.divmod(total[:, 0], BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(np.ascontiguousarray(total[:, 1]))], names=["lang", "bucket", "n"])
 
-    counts = rows.join(F.broadcast(part), "lang").filter(chosen).select("text", "lang").mapInArrow(run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.join(F.broadcast(part), "lang").filter(chosen).select("text", "lang").mapInArrow(lean(run), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros((len(names), BUCKETS))
     total[counts["lang"], counts["bucket"]] = counts["n"]
     share = total.sum(axis=0) / max(total.sum(), 1) + 1e-9
@@ -109,7 +109,7 @@ def likelihoods(rows: DataFrame, table: np.ndarray, step: int = 1 << 20) -> Data
 
     kept = [x for x in rows.columns if x not in ("text", "is_html")]
     schema = ", ".join(f"{x} {rows.schema[x].dataType.simpleString()}" for x in kept)
-    return rows.select("text", "is_html", *kept).mapInArrow(run, f"{schema}, text_ll array<double>")
+    return rows.select("text", "is_html", *kept).mapInArrow(lean(run), f"{schema}, text_ll array<double>")
 
 
 def evidence(df: DataFrame, id_col: str, text_col: str, url_col: str | None = None, host_col: str | None = None, html: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ number of tokens are held at a time.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import byte_letters
-from gridloom.llm.common import batches, texts
+from gridloom.llm.common import batches, lean, texts
 
 WINDOW = 2048
 #: Tokens that a task holds before it packs them.
@@ -64,12 +65,8 @@ class OpenWindows:
         return capacity, self.windows[capacity].pop()
 
 
-def best_fit(lengths: np.ndarray, size: int) -> list[list[tuple[int, int, int]]]:
-    """Packs pieces of 1 to ``size`` tokens: for each window its (piece, from, to), the whole of each piece once.
-
-    Best-fit decreasing first. What stays open is then closed: the emptiest windows are taken apart, and their
-    pieces, cut where need be, fill the gaps of the fuller ones, so that one window at most keeps a gap.
-    """
+def fitted(lengths: np.ndarray, size: int) -> tuple[list[list[tuple[int, int, int]]], list[int]]:
+    """Best-fit decreasing: each piece, the longest first, goes to the tightest open window; (windows, the room left in each)."""
     tree, windows, room = OpenWindows(size), [], []
     for piece in np.argsort(-lengths, kind="stable").tolist():
         n = int(lengths[piece])
@@ -84,6 +81,16 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[tuple[int, int, int]]]
         room[window] = capacity - n
         if capacity > n:
             tree.put(capacity - n, window)
+    return windows, room
+
+
+def best_fit(lengths: np.ndarray, size: int) -> list[list[tuple[int, int, int]]]:
+    """Packs pieces of 1 to ``size`` tokens: for each window its (piece, from, to), the whole of each piece once.
+
+    Best-fit decreasing first. What stays open is then closed: the emptiest windows are taken apart, and their
+    pieces, cut where need be, fill the gaps of the fuller ones, so that one window at most keeps a gap.
+    """
+    windows, room = fitted(lengths, size)
     gaps = sorted((w for w in range(len(windows)) if room[w]), key=lambda w: (room[w], w))
     lo, hi = 0, len(gaps) - 1
     while lo < hi:
@@ -120,18 +127,30 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path), plain, [x["content"] for x in spec["added_tokens"]]
 
 
+#: A run of white space, or of anything else, that is longer than any word.
+_LONG_RUN = re.compile(r"\s{16384}|\S{16384}")
+
+
 class Tokens:
     """Ids of whole texts as little-endian unsigned 32-bit values, as the tokenizers library gives them.
 
-    Texts that spell a special token go to that library itself, all others through the same merges in tiktoken, which
-    takes a quarter of the time; tests hold the two against each other.
+    Texts that spell a special token, or hold a run of one kind of characters too long for tiktoken's expressions, go to
+    that library itself, all others through the same merges in tiktoken, which takes a quarter of the time; tests
+    hold the two against each other.
     """
 
+    #: Characters from which a text may hold such a run.
+    LONG = 1 << 14
+
     def __init__(self, path: str):
         self.library, self.plain, self.specials = _tokenizer(path)
 
+    @classmethod
+    def _has_long_run(cls, text: str) -> bool:
+        return len(text) >= cls.LONG and _LONG_RUN.search(text) is not None
+
     def ids(self, text: str) -> bytes:
-        if any(x in text for x in self.specials):
+        if any(x in text for x in self.specials) or self._has_long_run(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return self.plain.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype("<u4").tobytes() if text else b""
 
@@ -198,4 +217,4 @@ def pack(df: DataFrame, path: str, end_id: int = 1, size: int = WINDOW, id_col:
             yield made()
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import batches, flat_bytes, word_hashes, word_spans
+from gridloom.llm.common import batches, flat_bytes, lean, word_hashes, word_spans
 
 BUCKETS, DIM, SEEDS, REACH = 1 << 14, 64, 4, 2
 #: Labelled rows that are learnt from at most, the first by a hash of their id.
@@ -54,7 +54,7 @@ def neighbour_sums(df: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for batch in batches(it, 0):
+        for batch in batches(it, 0, 1 << 20):
             sums = _neighbour_sums(*flat_bytes(batch.column(0)))
             total = sums if total is None else total + sums
         if total is not None:
@@ -72,7 +72,7 @@ def neighbour_sums(df: DataFrame, text_col: str = "text") -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.int64()), pa.array([k[1] for k in held], pa.int64()), pa.array([x.astype("<i8").tobytes() for x in held.values()], pa.binary())], names=["slab", "salt", "sums"])
 
     schema = "slab long, salt long, sums binary"
-    parts = df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(count, schema)
+    parts = df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(lean(count), schema)
     parts = parts.repartition("slab", "salt").mapInArrow(add, schema).withColumn("salt", F.lit(0).cast("long")).repartition("slab").mapInArrow(add, schema)
     out = np.zeros((BUCKETS, DIM + 1), np.int64)
     for row in parts.collect():  # BUCKETS rows, in slabs
@@ -167,7 +167,8 @@ def _read(df: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, Network]:
     """Word vectors from all texts, and a network from ``sample`` of the rows that ``labels`` marks 0 or 1.
 
-    Rows whose crc32 of the id as text leaves 1 modulo 3 are held out. An id with several labels counts by the least.
+    Rows whose crc32 of the id as text leaves 1 modulo 3 are held out. An id with several labels counts by the least,
+    an id with several texts by that of the smallest hash.
     """
     vectors = word_vectors(neighbour_sums(df, text_col))
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
@@ -177,10 +178,11 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, 1, 1 << 20):
             x = pooled(vectors, *flat_bytes(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([a.tobytes() for a in x], pa.binary())], names=["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([a.tobytes() for a in x], pa.binary())], names=["doc_id", "y", "text_hash", "x"])
 
-    rows = _read(df, id_col, text_col).join(F.broadcast(known), "doc_id").select("doc_id", "text", "y")  # `sample` rows at most
-    found = rows.mapInArrow(run, "doc_id long, y int, x binary").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    rows = _read(df, id_col, text_col).join(F.broadcast(known), "doc_id").select("doc_id", "text", "y", F.xxhash64("text").alias("text_hash"))  # `sample` ids at most
+    rows = rows.mapInArrow(lean(run), "doc_id long, y int, text_hash long, x binary")
+    found = rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.min_by("x", "text_hash").alias("x")).toPandas().sort_values("doc_id")
     x = np.frombuffer(b"".join(found["x"]), np.float32).reshape(-1, FEATURES)
     ids = found["doc_id"].to_numpy(dtype=np.int64)
     held = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(5) == 0
@@ -203,6 +205,6 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32)), batch.column(2)], names=["doc_id", "score", "predicted", "rest"])
 
     rows = _read(df, id_col, text_col, rest)
-    out = rows.mapInArrow(run, f"doc_id long, score double, predicted int, rest {rows.schema['rest'].dataType.simpleString()}")
+    out = rows.mapInArrow(lean(run), f"doc_id long, score double, predicted int, rest {rows.schema['rest'].dataType.simpleString()}")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted", *[F.col(f"rest.c{k}").alias(x) for k, x in enumerate(keep)])

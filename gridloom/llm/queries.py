@@ -31,7 +31,7 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
-OP5_SQL = """
+OP5_SQL = f"""
 WITH p AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, rest, regexp_extract(rest, '^([^/?#]*)', 1) AS raw FROM p),
@@ -41,14 +41,16 @@ s AS (
 rules(rhost, rpath, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
 best AS (
   SELECT page_id, max_by(rhost || rpath, len(rhost || rpath)) AS rule, max_by(v, len(rhost || rpath)) AS v
-  FROM s JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
-SELECT s.page_id, host, path, rule, coalesce(v, CASE WHEN regexp_matches(host, 'casino|bets|pills|adult|spam|ads-track') THEN 'block' ELSE 'allow' END) AS verdict
-FROM s LEFT JOIN best USING (page_id)
+  FROM s JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id),
+listed(domain) AS (VALUES {", ".join(f"('{x}')" for x in urls.LISTED)}),
+bad AS (SELECT DISTINCT host FROM s JOIN listed ON host = domain OR ends_with(host, '.' || domain))
+SELECT s.page_id, s.host, path, rule, coalesce(v, CASE WHEN bad.host IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM s LEFT JOIN best USING (page_id) LEFT JOIN bad ON s.host = bad.host
 """
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.captures(table(spark, sf_dir, "pages"))
+    return warc.captures(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP6_SQL = """

@@ -7,18 +7,22 @@ the mean ratio of its n-grams, so length does not count, and the verdict is a fi
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import words
 
 BUCKETS = 1 << 17
+#: Ratios are held in steps of 1 / STEPS, from -127 to 127 of them: no single n-gram decides, and a task's table stays small.
+STEPS = 32
 #: n-grams added to each bucket on both sides: a bucket that was seldom seen says little.
 PRIOR = 4.0
 #: Mean log ratio below which a text is rejected.
 THRESHOLD = -0.16
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
+_SPACES = r" \t\n\x0b\x0c\r"
 
 
 def _at(i: Column | str, h: str = "h") -> Column:
@@ -32,7 +36,7 @@ def _pairs() -> Column:
 
 
 def _bucket(x: Column) -> Column:
-    return F.pmod(x, F.lit(BUCKETS).cast("long")).cast("int")
+    return x.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")  # BUCKETS is a power of two
 
 
 def _hashed(df: DataFrame, id_col: str, text_col: str, more: tuple[Column, ...] = ()) -> DataFrame:
@@ -42,7 +46,7 @@ def _hashed(df: DataFrame, id_col: str, text_col: str, more: tuple[Column, ...]
 
 
 def bucket_ratios(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> str:
-    """Log ratios of all buckets, comma-separated: a value of fixed size, whatever the corpus.
+    """Log ratios of all buckets in whole steps, comma-separated: a value of fixed size, whatever the corpus.
 
     ``trusted`` has the ids (``doc_id``) of trusted rows; all of them count. A plain join marks them, so Spark can split
     an id with many rows; it moves texts once where the ids are too many for Spark to broadcast. n-grams of all rows are
@@ -55,34 +59,31 @@ def bucket_ratios(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", tex
     counts = grams.groupBy(_bucket(F.col("g")).alias("bucket")).agg(F.count("*").alias("raw"), F.sum("trusted").alias("target")).toPandas()
     raw, target = counts["raw"].astype(float), counts["target"].astype(float)
     expected = raw * (target.sum() / max(raw.sum(), 1.0))
-    ratios = [0.0] * BUCKETS
-    import math
-
-    for b, t, e in zip(counts["bucket"], target, expected, strict=True):
-        ratios[b] = math.log((t + PRIOR) / (e + PRIOR))
-    return ",".join(f"{x:.3f}" if x else "0" for x in ratios)
+    steps = np.zeros(BUCKETS, np.int64)
+    steps[counts["bucket"]] = np.clip(np.rint(STEPS * np.log((target + PRIOR) / (expected + PRIOR))), -127, 127)
+    return ",".join(map(str, steps.tolist()))
 
 
 def base_columns(rows: DataFrame) -> DataFrame:
     """Adds ``word_chars, n_symbols, n_dup_lines, n_repeat_words`` to ``doc_id, text, w, n_words, h``."""
     most = F.greatest(F.col("n_words") - 2, F.lit(0)).cast("int")
     rows = rows.withColumn("x", F.transform(F.slice("h", 1, most), lambda a, i: F.xxhash64(a, _at(i + 1), _at(i + 2))))
-    rows = rows.withColumn("s", F.sort_array("x")).withColumn("m", F.size("s"))
-    rest = F.greatest(F.col("m") - 1, F.lit(0))
-    twice = F.exists(F.zip_with(F.slice("s", 1, rest), F.slice("s", F.lit(2), rest), lambda a, b: a == b), lambda x: x)
+    twice = F.size(F.array_distinct("x")) < F.size("x")
     # only where a window is repeated: windows with their places in order of windows, then the places of repeated ones
     rows = rows.withColumn("t", F.when(twice, F.sort_array(F.transform("x", lambda a, i: F.struct(a.alias("a"), i.alias("i"))))))
     same = F.filter("t", lambda e, i: (e["a"] == F.get(F.col("t"), i + 1)["a"]) | (e["a"] == F.when(i > 0, F.get(F.col("t"), F.greatest(i - 1, F.lit(0)))["a"])))
     rows = rows.withColumn("p", F.sort_array(F.transform(same, lambda e: e["i"])))
     covered = F.transform("p", lambda v, i: F.least(F.lit(3), F.coalesce(F.get(F.col("p"), i + 1), v + 3) - v))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
-    rows = rows.withColumn("lines", lines)
+    # lines with a word are looked for only where some line is repeated
+    rows = rows.withColumn("lines", F.split("text", "\n")).withColumn("unlike", F.array_distinct("lines"))
+    worded = lambda c: F.size(F.filter(c, lambda x: x.rlike(f"[^{_SPACES}]")))
+    repeats = F.when(F.size("unlike") < F.size("lines"), worded("lines") - worded("unlike")).otherwise(0)
     return rows.select(
         "doc_id",
         "n_words",
-        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        (F.length("text") - F.regexp_count("text", F.lit(f"[{_SPACES}]"))).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+        repeats.cast("long").alias("n_dup_lines"),
         F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long").alias("n_repeat_words"),
         "h",
         *[x for x in rows.columns if x == "rest"],
@@ -100,12 +101,12 @@ def judge(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
     has text, all ratios are 0 and only the base rules decide. An empty table gives an empty one; columns may have
     any names. Very long texts are judged whole, one row at a time.
     """
-    table = F.split(F.lit(bucket_ratios(df, trusted, id_col, text_col)), ",").cast("array<double>")  # folded to one constant
+    table = F.split(F.lit(bucket_ratios(df, trusted, id_col, text_col)), ",").cast("array<int>")  # folded to one constant
     rest = F.struct(F.lit(0).alias("_"), *[F.col(x).alias(f"c{k}") for k, x in enumerate(keep)]).alias("rest")
     rows = base_columns(_hashed(df, id_col, text_col, (rest,)))
-    total = lambda grams: F.aggregate(grams, F.lit(0.0), lambda a, x: a + F.get(table, _bucket(x)))
+    total = lambda grams: F.aggregate(grams, F.lit(0).cast("long"), lambda a, x: a + F.get(table, _bucket(x)))
     n = F.greatest(2 * F.col("n_words") - 1, F.lit(1))
-    rows = rows.withColumn("score", (total(F.col("h")) + total(_pairs())) / n)
+    rows = rows.withColumn("score", (total(F.col("h")) + total(_pairs())) / (STEPS * n))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score")

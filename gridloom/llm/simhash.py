@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import shared_folder, words, written
+from gridloom.llm.common import lean, shared_folder, words, written
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Groups of more fingerprints than this are dealt again.
@@ -61,7 +61,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out = majority(values, np.diff(np.asarray(column.offsets)).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
 
-    return shingle_hashes(df, id_col, text_col, width).mapInArrow(run, "doc_id long, fp long")
+    return shingle_hashes(df, id_col, text_col, width).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -246,7 +246,7 @@ def _linked(groups: DataFrame, most: int) -> DataFrame:
         if held and (out := flush(True)):
             yield out
 
-    return groups.repartition("path", "key").sortWithinPartitions("path", "key").select("path", "key", "fp").mapInArrow(run, "a long, b long")
+    return groups.repartition("path", "key").sortWithinPartitions("path", "key").select("path", "key", "fp").mapInArrow(lean(run), "a long, b long")
 
 
 def links(fps: DataFrame, folder: str, most: int = 3, group: int = GROUP) -> DataFrame:
@@ -276,26 +276,34 @@ def components(edges: DataFrame, folder: str, name: str = "stars") -> DataFrame:
     """``node, root``: the smallest node that each node of the links ``a, b`` reaches; nodes without links are absent.
 
     Alternating stars: each node hands its smallest neighbour to all its larger neighbours, then to all its smaller
-    ones, until no link changes. Links per node are aggregated (a minimum), never gathered, so a hub is no hot task.
+    ones, until no link changes. Links per node are aggregated (a minimum), never gathered, and the minima are
+    written before links are joined to them, so Spark can split the links of a hub.
     """
-    now, k = edges.select("a", "b"), 0
+    now, k = written(edges.select("a", "b").distinct(), folder, f"{name}-edges"), 0
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), folder, f"{name}-{k}-least")
         # large star: what is larger than u links to u's least neighbour
         big = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("m").alias("a"), F.col("v").alias("b"))
         big = written(big.distinct(), folder, f"{name}-{k}-large")
         # small star: u's smaller neighbours and u itself link to the smallest
-        least = big.groupBy("b").agg(F.min("a").alias("m"))
+        least = written(big.groupBy("b").agg(F.min("a").alias("m")), folder, f"{name}-{k}-least-large")
         small = big.join(least, "b")
         small = small.filter(F.col("a") > F.col("m")).select(F.col("m").alias("x"), F.col("a").alias("y")).unionByName(least.select(F.col("m").alias("x"), F.col("b").alias("y"))).select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a < b").distinct()
         small = written(small, folder, f"{name}-{k}-small")
-        total = small.agg(F.count("*").alias("n"), F.countDistinct("b").alias("d")).first()
+        total = small.agg(F.count("*").alias("n"), F.count_distinct("b").alias("d")).first()
         if total["n"] == total["d"] and not small.join(small.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count():
             return small.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(small.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
         now, k = small, k + 1
 
 
+def least_of_components(nodes: DataFrame, roots: DataFrame, folder: str, key: str) -> DataFrame:
+    """``key, component_id``: the least ``least`` of all nodes of each one's component; ``nodes`` without a root are their own."""
+    member = nodes.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
+    least = written(member.groupBy("root").agg(F.min("least").alias("component_id")), folder, f"least-of-{key}")  # a plain side of the join, so Spark can split a large component
+    return member.join(least, "root").select(key, "component_id")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = 3, group: int = GROUP) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row; fingerprints link at ``most`` or fewer differing bits.
 
@@ -308,12 +316,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     folder = shared_folder(spark)
     fps = written(fingerprints(df, id_col, text_col, width), folder, "fingerprints")
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), folder, "distinct")
-    edges = links(distinct, folder, most, group)
-    nodes = distinct
-    if edges.limit(1).count():
-        member = distinct.join(components(edges, folder).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        roots = member.groupBy("root").agg(F.min("least").alias("component_id"))
-        nodes = member.join(roots, "root").select("fp", "component_id")
-    else:
-        nodes = distinct.select("fp", F.col("least").alias("component_id"))
+    roots = components(links(distinct, folder, most, group), folder)
+    nodes = least_of_components(distinct, roots, folder, "fp")
     return fps.join(nodes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -131,11 +131,10 @@ def plain_near_copies(texts):
     return least
 
 
-@pytest.mark.parametrize("frequent, rounds", [(4, 3), (10**9, 0)])
-def test_stage_reaches_similarity(spark, monkeypatch, frequent, rounds):
+@pytest.mark.parametrize("frequent, group", [(4, 20_000), (10**9, 7)])
+def test_stage_reaches_similarity(spark, monkeypatch, frequent, group):
     """Copies at any number of differing bits are found, and nothing below 0.8 is."""
     monkeypatch.setattr(similar, "FREQUENT", frequent)
-    monkeypatch.setattr(similar, "ROUNDS", rounds)
     rng = np.random.default_rng(5)
     texts = []
     for _ in range(12):
@@ -149,7 +148,7 @@ def test_stage_reaches_similarity(spark, monkeypatch, frequent, rounds):
     fps = [plain_fingerprint(t) for t in texts]
     assert len(set(want)) < len(set(plain_components(list(range(len(texts))), fps)))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r["doc_id"]: r["component_id"] for r in similar.near_copies(df).collect()} == dict(enumerate(want))
+    assert {r["doc_id"]: r["component_id"] for r in similar.near_copies(df, group=group).collect()} == dict(enumerate(want))
     kept = corpus_pipeline.deduplicated(spark, df, SMALLEST)
     assert {r["doc_id"] for r in kept.collect()} == set(want)
 
@@ -228,6 +227,56 @@ def test_factors_point_at_equal_words(spark):
         assert words[r["doc_id"]][r["start"] : r["start"] + r["n_words"]] == words[r["ref_doc"]][r["ref_start"] : r["ref_start"] + r["n_words"]]
 
 
+def test_small_blocks_give_the_same(spark, monkeypatch):
+    """A key of more words than a block is parsed in parts, and equal anchors alone remove nothing."""
+    monkeypatch.setattr(substring, "FREQUENT", 10**9)
+    r = np.random.default_rng(8)
+    tail = lambda: " ".join(f"u{k}" for k in r.integers(0, 10**6, 9))
+    texts = [f"the first four words {tail()}" for _ in range(600)] + ["the first four words " + "again " * 30] * 3
+    texts += [f"{t} more" for t in texts[:50]]
+    df = frame(spark, texts).repartition(7)
+    spans = lambda rows: {(x["doc_id"], x["start"] + k) for x in rows for k in range(x["n_words"])}
+    want = {(i, k) for i, _, keep in plain_removed([*enumerate(texts)]) for k, stays in enumerate(keep) if not stays}
+    for words in (1, 100, 1 << 18):
+        assert spans(substring.factors(df, block_words=words).collect()) == want
+
+
+def plain_longest(words, doc):
+    """Of each window of each segment the longest match (in windows) in a segment of an earlier document."""
+    out = []
+    for a, x in enumerate(words):
+        for i in range(len(x) - 12):
+            best = 0
+            for b, y in enumerate(words):
+                for j in range(len(y) - 12 if doc[b] < doc[a] else 0):
+                    n = 0
+                    while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
+                        n += 1
+                    best = max(best, n - 12)
+            out.append(best)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_parse_takes_the_longest_match(seed):
+    r = np.random.default_rng(seed)
+    size = r.integers(13, 40, r.integers(1, 8))
+    words = r.integers(0, 2, size.sum()).astype(np.uint64)
+    if seed % 3:
+        words[:] = 0
+        words[r.integers(0, len(words), 4)] = 5
+    doc = r.integers(0, 4, len(size))
+    block = substring.Block(words, size, doc, np.zeros(len(size), np.int64))
+    length, _ = block.longest()
+    assert length.tolist() == plain_longest(np.split(words, np.cumsum(size)[:-1]), doc)
+    at, n, _, _ = block.factors()
+    covered = np.zeros(len(length), bool)
+    for x, m in zip(at, n, strict=True):
+        assert m == length[x]
+        covered[x : x + m] = True
+    assert (covered == (length > 0)).all()
+
+
 def test_unchanged_texts_stay_as_they_are(spark):
     texts = ["  lead and\ttabs \n end ", "short"]
     assert [r["kept_text"] for r in substring.remove_repeats(frame(spark, texts)).orderBy("doc_id").collect()] == texts
@@ -258,8 +307,7 @@ def test_pipeline_stages(spark):
         assert set(after) <= set(before) and len(after) > 0.3 * len(before) and all(before[i] == t for i, t in after.items())
     before, after = texts[2]
     ids = sorted(before)
-    components = plain_components(ids, [plain_fingerprint(before[i]) for i in ids])
-    assert set(after) == set(components)
+    assert set(after) == {ids[k] for k in plain_near_copies([before[i] for i in ids])}
     before, after = texts[3]
     want = {i: " ".join(x for x, y in zip(w, k, strict=True) if y) for i, w, k in plain_removed(sorted(before.items()))}
     assert {i: " ".join(WORD.findall(t)) for i, t in after.items()} == want

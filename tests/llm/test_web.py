@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import ann, language, queries, urls, warc
 from gridloom.llm.common import shared_folder
 
-URLS = [None, "", "no scheme", "http://", "https://Example.ORG/es/x?q#f", "http://example.org/en/12", "http://sub.example.org/en/1", "http://notexample.org/es/", "http://a.com/fr/x", "http://a.com/de/", "http://a.com/DE/", "http://com/de/", "ftp://best-casino.net?x=/a", "http://x.net#frag", "http://é.Org/ü", "a://b://c/d", "http://org", "http://user@spam.test:80/p//q", "http://example.org/en/1"]
+URLS = [None, "", "no scheme", "http://", "https://Example.ORG/es/x?q#f", "http://example.org/en/12", "http://sub.example.org/en/1", "http://notexample.org/es/", "http://a.com/fr/x", "http://a.com/de/", "http://a.com/DE/", "http://com/de/", "ftp://www.casino-win.example.net?x=/a", "http://notcasino-win.example.net/", "http://adult-x.example.com", "http://alphabets.com/", "http://x.net#frag", "http://é.Org/ü", "a://b://c/d", "http://org", "http://user@spam.test:80/p//q", "http://example.org/en/1"]
 
 
 def plain_url(url):
@@ -33,26 +33,30 @@ def plain_verdict(host, path):
     for h, p, v in urls.RULES:
         if (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or len(h + p) > len(best[0])):
             best = (h + p, v)
-    return best or (None, "block" if any(t in host for t in urls.TERMS) else "allow")
+    return best or (None, "block" if any(host == x or host.endswith("." + x) for x in urls.LISTED) else "allow")
 
 
 def test_urls(spark):
     df = spark.createDataFrame([(k, u, "host", 1) for k, u in enumerate(URLS)] + [(3, URLS[4], "x", 2), (None, URLS[8], "y", 3)], "page_id long, url string, host string, path int")
-    for most in (urls.MOST_BITS, 0):  # by the cascade, and without room for it
-        rows = urls.judge(df, most_bits=most).collect()
+    for bits in (urls.SHARD_BITS, 64):  # by one cascade, and by several
+        rows = urls.judge(df, shard_bits=bits).collect()
         assert len(rows) == len(URLS) + 2
         for r in rows:
             if r["page_id"] is not None and (r["page_id"] != 3 or not r["host"]):
                 host, path = plain_url(URLS[r["page_id"]])
                 assert (r["host"], r["path"]) == (host, path) and (r["rule"], r["verdict"]) == plain_verdict(host, path), URLS[r["page_id"]]
     assert urls.judge(df.limit(0)).count() == 0
+    by_table = urls.judge(df, rules=[], listed=spark.createDataFrame([("x.net", 1)], "domain string, host int")).filter("verdict = 'block'")
+    assert [r["host"] for r in by_table.collect()] == ["x.net"]
+    assert urls.judge(df, rules=[], listed=[]).filter("verdict = 'block'").count() == 0
 
 
 @pytest.mark.parametrize("share", [0, 1, 10, 50, 100])
 def test_cascade_is_exact(spark, share):
-    keys = spark.range(2000).select(F.concat(F.lit("host"), F.col("id").cast("string")).alias("key"), (F.col("id") % 100 < share).alias("listed"))
+    keys = spark.range(2000).select(F.xxhash64("id", F.lit(1)).alias("a"), F.xxhash64("id", F.lit(2)).alias("b"), (F.col("id") % 100 < share).alias("listed"))
     c = urls.Cascade.build(keys)
-    assert keys.filter(c.contains(F.col("key")) != F.col("listed")).count() == 0
+    a, b, listed = (np.array(x) for x in zip(*keys.collect(), strict=True))
+    assert (c.contains(a.view(np.uint64), b.view(np.uint64)) == listed).all()
     assert share in (0, 100) or len(c.levels) > 1
 
 
@@ -82,6 +86,31 @@ def test_captures(spark):
     assert warc.captures(df.limit(0)).count() == 0
 
 
+def test_every_row_is_captured(spark):
+    """Null ids, repeated rows and repeated ids with other payloads; requests and metadata belong to their own row."""
+    big, other = "x" * 1000, "y" * 1500
+    pages = [(None, "http://n/", big), (None, "http://n/", big), (None, None, None), (5, "http://a/", big), (5, "http://a/", big), (5, "http://b/", other), (5, "http://c/", "small"), (9, "http://d/", big), (9, "http://d/", big), (2, "http://e/", other)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    rows = warc.captures(df).collect()
+    plain = Counter()
+    for i, u, h in pages:
+        size, chief = len(h or ""), max(j for j, _, g in pages if g == h and j is not None) if h and any(j is not None and g == h for j, _, g in pages) else None
+        later = size >= 1000 and i is not None and i < chief
+        plain[i, u, size, hashlib.sha1((h or "").encode()).hexdigest(), "revisit" if later else "response", chief if later else None] += 1
+    assert Counter((r["page_id"], r["request"]["target_uri"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in rows) == plain
+    assert all(r["capture"]["target_uri"] == r["request"]["target_uri"] == r["metadata"][0]["target_uri"] and len(r["metadata"]) == 1 for r in rows)
+    assert len({r["capture_id"] for r in rows}) == len(pages)
+
+
+def test_archives_are_read_in_parts():
+    one = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n"
+    bodies = [b"WARC/1.1 \r\n\r\n" * 40, b"", b"z" * 5000]
+    data = b"".join(one % (k, len(x), x) for k, x in enumerate(bodies))
+    for packed in (data, gzip.compress(data), gzip.compress(data[:700]) + gzip.compress(data[700:])):
+        for step in (1, 7, 100, 1 << 20):
+            assert [(h["warc-record-id"], x) for h, x in warc.parse(packed, step)] == [(f"<urn:{k}>", x) for k, x in enumerate(bodies)]
+
+
 def test_transactions_are_nested(spark):
     df = spark.createDataFrame([(k, f"http://h/{k}", f"page {k}") for k in range(5)], "page_id long, url string, html string")
     path = f"{shared_folder(spark)}/w"
@@ -90,6 +119,7 @@ def test_transactions_are_nested(spark):
     assert len(rows) == 5
     for r in rows:
         k = int(r["capture_id"].split(":")[2])
+        assert r["request"]["concurrent_to"] == r["capture_id"] == r["capture"]["record_id"]
         assert r["request"]["type"] == "request" and r["capture"]["type"] == "response" and len(r["metadata"]) == 1
         assert bytes(r["capture"]["payload"]) == f"page {k}".encode() and r["capture"]["target_uri"] == f"http://h/{k}"
         assert r["metadata"][0]["fields"] == {"payloadLength": str(len(f"page {k}"))}
@@ -180,10 +210,10 @@ def test_nearest(spark):
 
 
 def test_nearest_in_blocks_and_of_few(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK", 4)
+    monkeypatch.setattr(ann, "QUERIES", 4)
     rows = [(k, [float(k), 1.0]) for k in range(9)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = sorted(tuple(r) for r in ann.nearest(df, df).collect())
+    got = sorted(tuple(r) for r in ann.nearest(df, df, block_bytes=64).collect())
     assert got == sorted(plain_nearest(rows, set(range(9)))) and len(got) == 9 * 8
     assert ann.nearest(df, df.limit(0)).count() == 0 and ann.nearest(df.limit(0), df).count() == 0
     one = df.limit(1)
@@ -194,7 +224,7 @@ def test_bounds_hold():
     r = np.random.default_rng(1)
     x, q = r.standard_normal((2000, 64)), r.standard_normal((50, 64))
     turn, centre = ann.rotation(64), x.mean(axis=0)
-    low, high = ann.Codes(x, centre, turn).bounds((q - centre) @ turn)
+    low, high = ann.Codes.of(x, centre, turn).bounds((q - centre) @ turn)
     true = ((q[:, None] - x[None]) ** 2).sum(axis=2)
     assert np.mean((low <= true) & (true <= high)) > 0.99 and np.mean(high - low < np.abs(true).max()) > 0.5
     assert np.allclose(turn @ turn.T, np.eye(64))
@@ -211,6 +241,7 @@ def test_recall_and_pruning(spark):
     counts: list[int] = []
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(x), pa.list_(pa.float64()))], names=["vec_id", "v"])
+    c = ann.Codes.of(x, x.mean(axis=0), ann.rotation(64))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(x), pa.list_(pa.float64())), pa.array([b.tobytes() for b in c.bits]), pa.array(c.norm), pa.array(c.scale)], names=["vec_id", "v", "bits", "norm", "scale"])
     list(ann._scan(ids[::100], x[::100], x.mean(axis=0), 10, counts)(iter([batch])))
     assert sum(counts) < len(x) * len(x[::100])  # some are never computed exactly
