@@ -10,6 +10,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions import bits as B
@@ -20,7 +21,7 @@ from gridloom.operators import lossy as L
 from gridloom.operators import mesh as M
 from gridloom.operators import metrics as Q
 from gridloom.operators import neighbours as N
-from gridloom.operators.grid import Grid, apply_scaling, grid_of, linear, slice_grid, split_table
+from gridloom.operators.grid import Grid, append, apply_scaling, cast_grid, filled, grid_of, hollow, linear, slice_grid, split_table
 from gridloom.operators.pyramid import Pyramid, cells_of, coarsen, compress, decompress, mean_levels
 from gridloom.plans.domain import Domain, Layout
 from gridloom.plans.errors import ErrorRules
@@ -486,7 +487,14 @@ def arithmetic_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("level", "place").agg(F.count("*").alias("n"))
 
 
-@query("huffman_bits")
+@query(
+    "huffman_bits",
+    _PREFIX.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, f AS (SELECT level, nbits, count(*) AS n FROM r GROUP BY ALL), step AS (
+      SELECT level, list_sort(list(n)) AS w, 0::HUGEINT AS bits FROM f GROUP BY level
+      UNION ALL SELECT level, list_sort(list_append(w[3:], w[1] + w[2])), bits + w[1] + w[2] FROM step WHERE len(w) > 1)
+    SELECT level, bits::BIGINT AS code_bits FROM step WHERE len(w) = 1""",
+)
 def huffman_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = E.huffman_codes(E.symbol_frequencies(compress(vectors(spark, sf_dir), "prefix")), "prefix", 32)
     return codes.groupBy("level").agg(F.sum(F.col("n") * F.col("code_bits")).alias("code_bits"))
@@ -506,6 +514,130 @@ def xor_with_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.xor_with_previous(rows).select(F.col("pos").alias("event_id"), "xored")
 
 
+_I16 = "(SELECT event_id AS i, event_id * 7919 % 65536 AS b, (event_id % 5)::INTEGER AS front, (event_id % 7)::INTEGER AS tail, (event_id % 16)::INTEGER AS k FROM events)"
+
+
+def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns of 16 bits, with lengths of a front and a tail."""
+    i = F.col("event_id")
+    return table(spark, sf_dir, "events").select(i.alias("i"), (i * 7919 % 65536).alias("b"), (i % 5).cast("int").alias("front"), (i % 7).cast("int").alias("tail"), (i % 16).cast("int").alias("k"))
+
+
+@query(
+    "significant_parts",
+    f"""WITH s AS (SELECT *, 16 - front - tail AS n, (b >> tail) & ((1 << (16 - front - tail)) - 1) AS p FROM {_I16})
+    SELECT i, n AS significant, p AS payload, (p << (front + tail))::BIGINT AS aligned, b & (65535 >> front) AS nullified, least(n, n - length(ltrim(bin(p), '0'))) AS zeros FROM s""",
+)
+def significant_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, front, tail = F.col("b"), F.col("front"), F.col("tail")
+    n = B.significant_bits(front, tail, 16)
+    return patterns(spark, sf_dir).select(
+        "i",
+        n.cast("long").alias("significant"),
+        B.payload(b, front, n, 16).alias("payload"),
+        B.left_aligned(b, front, n, 16).alias("aligned"),
+        B.nullify_front(b, front, 16).alias("nullified"),
+        B.zeros_in_significant(b, front, tail, 16).cast("long").alias("zeros"),
+    )
+
+
+@query(
+    "bit_edits",
+    f"""WITH s AS (SELECT *, reverse(lpad(bin(b), 16, '0')) AS r, (1 << k) - 1 AS low, b & ~((1::BIGINT << tail) - 1) AS x, (i % (tail + 1))::INTEGER AS n FROM {_I16})
+    SELECT i, xor(b, 1::BIGINT << k) AS toggled, CASE WHEN (b >> k) & 1 = 1 THEN xor(b, 1::BIGINT << k) & ~low::BIGINT ELSE xor(b, 1::BIGINT << k) | low END AS reset, 16 - length(ltrim(r, left(r, 1))) AS equal,
+      x | (((i * 31) & ((1::BIGINT << n) - 1)) << (tail - n)) AS suffixed, b AS again FROM s""",
+)
+def bit_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, tail = F.col("b"), F.col("tail")
+    rows = patterns(spark, sf_dir).withColumn("n", (F.col("i") % (tail + 1)).cast("int"))
+    rows = rows.withColumn("equal", B.equal_tail(b, 16)).withColumn("x", B.keep_front(b, 16 - tail, 16))
+    return rows.select(
+        "i",
+        B.toggle_bit(b, F.col("k"), 16).alias("toggled"),
+        B.toggle_and_reset(b, F.col("k"), 16).alias("reset"),
+        F.col("equal").cast("long").alias("equal"),
+        B.apply_suffix(F.col("x"), tail, (F.col("i") * 31).bitwiseAND(B.shl(B.long(1), F.col("n")) - 1), F.col("n")).alias("suffixed"),
+        B.restore_equal_tail(B.keep_front(b, 16 - F.col("equal"), 16), F.col("equal"), 16).alias("again"),
+    )
+
+
+@query("appended_cells", f"SELECT z, y, x, v AS value FROM {_E3}")
+def appended_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells appended to an empty grid, by linear index and by coordinates."""
+    grid = events(spark, sf_dir, "Lev_Lat_Lon")
+    src = table(spark, sf_dir, "events").select(F.col("event_id").alias("i"), "value")
+    half = append(hollow(grid), src.filter("i % 2 = 0"), index="i")
+    rest = grid.df.filter((F.col("x") + 20 * F.col("y")) % 2 == 1)
+    return append(half, rest).df.select("z", "y", "x", "value")
+
+
+@query("cast_and_filled", "SELECT p_partkey // 50 AS y, p_partkey % 50 AS x, p_retailprice::FLOAT AS value, 7::INTEGER AS filled FROM part")
+def cast_and_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    single = cast_grid(parts(spark, sf_dir, "p_retailprice", "double"), "float").df.select("y", "x", "value")
+    # as many of each cell as there are parts with its key
+    return single.withColumn("n", F.row_number().over(W.partitionBy("y", "x").orderBy("value"))).join(filled(parts(spark, sf_dir), 7).df.select("y", "x", F.col("value").alias("filled")).withColumn("n", F.row_number().over(W.partitionBy("y", "x").orderBy("filled"))), ["y", "x", "n"]).drop("n")
+
+
+@query("wide_table_grid", f"SELECT y, x, v AS value, 'Lat_Lon' AS layout FROM {_E2} WHERE y >= 10 AND y < 60")
+def wide_table_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dimensions found by their usual names, and the layout by the order of their columns."""
+    from gridloom.sources.store import read_grid
+
+    path = f"{shared_folder(spark)}/wide"
+    events(spark, sf_dir, "Lat_Lon").df.select(F.col("y").alias("Latitude"), F.col("x").alias("LON"), F.col("value").alias("signal")).write.parquet(path)
+    grid = read_grid(spark, path, ["signal"], Domain.of(lat=(10, 60)))[0]
+    return grid.df.select("y", "x", "value", F.lit(grid.meta.layout.name).alias("layout"))
+
+
+def _four(spark: SparkSession, sf_dir: str) -> Grid:
+    src = table(spark, sf_dir, "events").select("event_id", "value")
+    n = (src.agg(F.max("event_id")).first()[0] or 0) + 1
+    layout = Layout.parse("Time_Lev_Lat_Lon")
+    domain = Domain.default(layout, [-(-n // 1000), 10, 10, 10])
+    return grid_of(src, "events", "double", layout, domain, coords=delinearize(layout, domain, F.col("event_id")))
+
+
+@query("roundtrip_4d", "SELECT event_id // 1000 AS t, event_id // 100 % 10 AS z, event_id // 10 % 10 AS y, event_id % 10 AS x, value FROM events")
+def roundtrip_4d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decompress(compress(_four(spark, sf_dir), "multires")).df.select("t", "z", "y", "x", "value")
+
+
+_NODES = f"SELECT k::INTEGER AS level, count(*) AS n FROM (SELECT DISTINCT k, y >> k AS y, x >> k AS x FROM {_E2}, (SELECT unnest(range(0, (SELECT ceil(log2(greatest(100, max(event_id) // 100 + 1)))::BIGINT FROM events))) AS k)) GROUP BY k"
+
+
+@query("stored_schemes", f"WITH n AS ({_NODES}), s AS (SELECT unnest(['prefix', 'multires', 'xor', 'quantized_prefix', 'trimmed']) AS scheme) SELECT scheme, level, n, (SELECT count(*) FROM events) AS within FROM s, n")
+def stored_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored records by level of every scheme, and how many cells come back within the bound (0 for lossless ones)."""
+    from gridloom.sources.store import load_pyramid, restore, save_pyramid
+
+    grid, out = events(spark, sf_dir, "Lat_Lon"), []
+    rules = ErrorRules().general("abs", 0.5)
+    made = {s: lambda s=s: compress(grid, s) for s in ("prefix", "multires", "xor")} | {"quantized_prefix": lambda: L.compress_quantized_prefix(grid, rules), "trimmed": lambda: L.compress_trimmed(grid, rules)}
+    for scheme, make in made.items():
+        folder = f"{shared_folder(spark)}/{scheme}"
+        save_pyramid(make(), folder)
+        pyramid, form = load_pyramid(spark, folder, "events")
+        within = Q.errors(Q.paired(grid, restore(pyramid, form))).agg(F.count_if(F.col("abs_err") <= (0.5 if scheme in ("quantized_prefix", "trimmed") else 0.0)).alias("within"))
+        counts = pyramid.residuals.groupBy("level").agg(F.count("*").alias("n"))
+        out.append(counts.join(F.broadcast(within)).select(F.lit(scheme).alias("scheme"), "level", "n", "within"))  # one row
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("streamed_slices", "SELECT event_id // 1000 AS t, count(*) AS n FROM events GROUP BY ALL")
+def streamed_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time slices that arrive as files: the finest level's records of each slice, as the stream has written them."""
+    from gridloom.streaming.slices import compress_stream
+
+    folder = shared_folder(spark)
+    grid = _four(spark, sf_dir)
+    grid.df.repartition("t").write.parquet(f"{folder}/in")
+    layout = Layout.parse("Lev_Lat_Lon")
+    meta = grid.meta.but(layout=layout, domain=Domain.default(layout, [10, 10, 10]))
+    stream = spark.readStream.schema(grid.df.schema).parquet(f"{folder}/in")
+    compress_stream(stream, meta, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").filter("level = 0").groupBy("t").agg(F.sum("n").alias("n"))
+
+
 # --- error bounds --------------------------------------------------------------------------------------------------
 
 RULES = ErrorRules().general("abs", 1.0).general("rel", 0.01).region("abs", 0.5, Domain.of(lat=(0, 100), lon=(0, 32))).region("rel", 0.005, Domain.of(lat=(50, 200)))
@@ -577,7 +709,17 @@ def lorenzo_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.lorenzo(events(spark, sf_dir, "Lat_Lon"), 0.1).select("y", "x", "prediction", "residual", "zero")
 
 
-@query("lorenzo_feedback")
+@query(
+    "lorenzo_feedback",
+    f"""WITH RECURSIVE g AS (SELECT y, list(v ORDER BY x) AS vs FROM {_E2} GROUP BY y),
+    walk AS (SELECT y, vs, vs AS r FROM g WHERE y = 0
+      UNION ALL SELECT g.y, g.vs, list_reduce(list_transform(range(2, len(g.vs) + 1), lambda i: [i::DOUBLE]), lambda acc, at: list_append(acc, CASE
+        WHEN abs((walk.r[at[1]::BIGINT] + acc[-1]) - walk.r[at[1]::BIGINT - 1] - g.vs[at[1]::BIGINT]) <= 0.1 * abs(g.vs[at[1]::BIGINT]) THEN (walk.r[at[1]::BIGINT] + acc[-1]) - walk.r[at[1]::BIGINT - 1]
+        ELSE g.vs[at[1]::BIGINT] END), [g.vs[1]]) FROM walk JOIN g ON g.y = walk.y + 1),
+    c AS (SELECT y, unnest(range(len(vs))) AS x, unnest(vs) AS value, unnest(r) AS restored FROM walk)
+    SELECT c.y, c.x, c.value, c.restored, coalesce(abs((a.restored + b.restored) - d.restored - c.value) <= 0.1 * abs(c.value), false) AS zero FROM c
+      LEFT JOIN c a ON a.y = c.y - 1 AND a.x = c.x LEFT JOIN c b ON b.y = c.y AND b.x = c.x - 1 LEFT JOIN c d ON d.y = c.y - 1 AND d.x = c.x - 1""",
+)
 def lorenzo_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.lorenzo_feedback(events(spark, sf_dir, "Lat_Lon"), 0.1).select("y", "x", "value", "restored", "zero")
 

@@ -178,3 +178,51 @@ def read_compressed(spark: SparkSession, path: str, name: str) -> Grid:
     meta = GridMeta(name, kind, layout, domain, float(r["missing"]) if kind.is_float else int(r["missing"]))
     stream = spark.read.parquet(f"{path}/{name}/stream").select("var", "level", "chunk", "first", "n", "alphabet", "codes", "data")
     return grid_from_cells(decode(stream, r["scheme"], meta, r["depth"]).select("var", "m", "bits"), meta)
+
+
+# --- pyramids of any scheme ----------------------------------------------------------------------------------------
+
+_SAVED = "var string, elem string, layout string, starts array<long>, lengths array<long>, missing string, scheme string, depth int, form string, record binary"
+
+
+def save_pyramid(pyramid: Pyramid, path: str, form: str = "grid") -> None:
+    """Stores what any scheme gives, lossless or not: residuals in a folder per level, what stands at the top, and a description.
+
+    ``form`` says what the cells are: those of a ``grid``, of a grid on its ``embedded`` tree, or of a caller's ``forest``.
+    """
+    from gridloom.operators.mesh import root_record
+
+    if form not in ("grid", "embedded", "forest"):
+        raise ValueError(f"no such form: {form}")
+    meta, at = pyramid.meta, f"{path}/{pyramid.meta.name}"
+    pyramid.residuals.write.mode("overwrite").partitionBy("level").parquet(f"{at}/residuals")
+    pyramid.root.write.mode("overwrite").parquet(f"{at}/root")
+    row = (meta.name, meta.elem.name, meta.layout.name, [*meta.domain.starts(meta.layout)], [*meta.lengths], repr(meta.missing), pyramid.scheme, pyramid.depth, form, bytearray(root_record(meta)))
+    pyramid.root.sparkSession.createDataFrame([row], _SAVED).coalesce(1).write.mode("overwrite").parquet(f"{at}/pyramid")
+
+
+def load_pyramid(spark: SparkSession, path: str, name: str) -> tuple[Pyramid, str]:
+    """(the stored pyramid, its form). A filter on ``level`` reads that level's folder alone."""
+    from gridloom.operators.mesh import read_root_record
+
+    at = f"{path}/{name}"
+    r = spark.read.parquet(f"{at}/pyramid").first()
+    layout, kind = Layout.parse(r["layout"]), elem(r["elem"])
+    domain = Domain({d: (s, s + n) for d, s, n in zip(layout.dims, r["starts"], r["lengths"], strict=True)})
+    meta = GridMeta(name, kind, layout, domain, float(r["missing"]) if kind.is_float else int(r["missing"]))
+    if read_root_record(bytes(r["record"]))[2] != Domain({d: domain.interval(d) for d in DIMENSIONS}):
+        raise ValueError(f"{at}: the root record names another domain")
+    residuals = spark.read.parquet(f"{at}/residuals").withColumn("level", F.col("level").cast("int"))
+    return Pyramid(r["scheme"], meta, r["depth"], residuals, spark.read.parquet(f"{at}/root")), r["form"]
+
+
+def restore(pyramid: Pyramid, form: str = "grid") -> Grid | DataFrame:
+    """The grid (or the forest's elements) of a pyramid of any scheme and form."""
+    from gridloom.operators import lossy, mesh
+    from gridloom.operators.pyramid import decompress
+
+    if form == "forest":
+        return mesh.decompress_forest(pyramid)
+    if form == "embedded":
+        return mesh.decompress_embedded(pyramid)
+    return {"quantized_prefix": lossy.decompress_quantized_prefix, "trimmed": lossy.decompress_trimmed}.get(pyramid.scheme, decompress)(pyramid)
