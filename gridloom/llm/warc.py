@@ -90,14 +90,17 @@ def _unpacked(data: bytes, step: int) -> Iterator[bytes]:
         yield from (data[k : k + step] for k in range(0, len(data), step))
         return
     while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        try:
-            part = member.decompress(data, step)
-            while part:
+        member, rest = zlib.decompressobj(31), data
+        while not member.eof:
+            try:
+                part = member.decompress(rest, step)
+            except zlib.error:
+                return
+            rest = member.unconsumed_tail
+            if part:
                 yield part
-                part = member.decompress(member.unconsumed_tail, step)
-        except zlib.error:
-            return
+            elif not rest and not member.eof:
+                return  # cut off
         data = member.unused_data
 
 
