@@ -220,14 +220,23 @@ def trimmed_symbols(pyramid: Pyramid) -> DataFrame:
     return pyramid.residuals.select("var", "level", "m", F.posexplode(F.array(F.col("symbol"), second)).alias("k", "symbol")).filter(F.col("symbol").isNotNull())
 
 
+#: Levels that are restored between two written tables.
+_WRITTEN = 2
+
+
 def decompress_trimmed(pyramid: Pyramid) -> Grid:
-    """Restores by one equi-join per level; tables of the coarse side shrink with each level up."""
+    """Restores by one equi-join per level; tables of the coarse side shrink with each level up.
+
+    Every few levels the table is written, as each level puts the expressions of all above it into its own.
+    """
     scheme, dim = TrimmedScheme(pyramid.meta.elem), pyramid.meta.dimensionality
-    now = pyramid.root.select("var", "m", "bits")
+    now, folder = pyramid.root.select("var", "m", "bits"), shared_folder(pyramid.root.sparkSession)
     for level in range(pyramid.depth - 1, -1, -1):
         fine = pyramid.residuals.filter(F.col("level") == level).withColumn("up", shr(F.col("m"), dim))
         pairs = fine.join(now.select("var", F.col("m").alias("up"), F.col("bits").alias("_b")), ["var", "up"])
         now = pairs.select("var", "m", scheme.combine(F.col("_b"), F.lit(pyramid.meta.elem.width))[0].alias("bits"))
+        if level and (pyramid.depth - level) % _WRITTEN == 0:
+            now = written(now, f"{folder}/restored-{level}")
     return grid_from_cells(now, pyramid.meta)
 
 

@@ -214,7 +214,12 @@ def face_prediction(grid: Grid, interpolation: Callable[[Column], Column], weigh
     value and the near faces. A child's place in its family says which face is near.
     """
     grid = grid.along_curve
-    rows = with_parent(grid, mirrored_faces(coarsen(grid, interpolation)))
+    return predicted_by_faces(grid, coarsen(grid, interpolation), weights)
+
+
+def predicted_by_faces(grid: Grid, coarse: Grid, weights: tuple[float, float, float] | None = None) -> DataFrame:
+    """As ``face_prediction``, from a coarse grid that is there already; of the fine one its cells count, not their values."""
+    rows = with_parent(grid, mirrored_faces(coarse))
     near, far = [], []
     for k, a in enumerate(reversed(grid.axes)):
         upper = _child_bit(grid, a) == 1
@@ -222,12 +227,12 @@ def face_prediction(grid: Grid, interpolation: Callable[[Column], Column], weigh
         near.append(F.when(upper, high).otherwise(low))
         far.append(F.when(upper, low).otherwise(high))
     add = lambda xs: reduce(lambda p, q: p + q, xs)
-    coarse = F.col("coarse").cast("double")
+    own = F.col("coarse").cast("double")
     if weights is None:
-        prediction = add([coarse, *near]) / (len(near) + 1)
+        prediction = add([own, *near]) / (len(near) + 1)
     else:
         wc, wn, wf = weights
-        prediction = add([coarse * wc, *[n * wn for n in near], *[f * wf for f in far]])
+        prediction = add([own * wc, *[n * wn for n in near], *[f * wf for f in far]])
     return rows.select("var", *COORDS, "value", prediction.cast(grid.meta.elem.spark).alias("prediction"))
 
 

@@ -21,6 +21,7 @@ from gridloom.operators import lossy as L
 from gridloom.operators import mesh as M
 from gridloom.operators import metrics as Q
 from gridloom.operators import neighbours as N
+from gridloom.operators import predicted as P
 from gridloom.operators.grid import Grid, append, apply_scaling, cast_grid, filled, grid_of, hollow, linear, slice_grid, split_table
 from gridloom.operators.pyramid import Pyramid, cells_of, coarsen, compress, decompress, mean_levels
 from gridloom.plans.domain import Domain, Layout
@@ -490,7 +491,7 @@ def arithmetic_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "huffman_bits",
     _PREFIX.replace("WITH ", "WITH RECURSIVE ", 1)
-    + """, f AS (SELECT level, nbits, count(*) AS n FROM r GROUP BY ALL), step AS (
+    + """, f AS (SELECT level, nbits, count(*) AS n FROM r GROUP BY ALL UNION ALL SELECT DISTINCT level, -1, 1 FROM r), step AS (
       SELECT level, list_sort(list(n)) AS w, 0::HUGEINT AS bits FROM f GROUP BY level
       UNION ALL SELECT level, list_sort(list_append(w[3:], w[1] + w[2])), bits + w[1] + w[2] FROM step WHERE len(w) > 1)
     SELECT level, bits::BIGINT AS code_bits FROM step WHERE len(w) = 1""",
@@ -713,9 +714,9 @@ def lorenzo_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     "lorenzo_feedback",
     f"""WITH RECURSIVE g AS (SELECT y, list(v ORDER BY x) AS vs FROM {_E2} GROUP BY y),
     walk AS (SELECT y, vs, vs AS r FROM g WHERE y = 0
-      UNION ALL SELECT g.y, g.vs, list_reduce(list_transform(range(2, len(g.vs) + 1), lambda i: [i::DOUBLE]), lambda acc, at: list_append(acc, CASE
-        WHEN abs((walk.r[at[1]::BIGINT] + acc[-1]) - walk.r[at[1]::BIGINT - 1] - g.vs[at[1]::BIGINT]) <= 0.1 * abs(g.vs[at[1]::BIGINT]) THEN (walk.r[at[1]::BIGINT] + acc[-1]) - walk.r[at[1]::BIGINT - 1]
-        ELSE g.vs[at[1]::BIGINT] END), [g.vs[1]]) FROM walk JOIN g ON g.y = walk.y + 1),
+      UNION ALL SELECT g.y, g.vs, list_reduce(list_transform(range(2, len(g.vs) + 1), lambda i: [i::DOUBLE]), lambda acc, j: list_append(acc, CASE
+        WHEN abs((walk.r[j[1]::BIGINT] + acc[-1]) - walk.r[j[1]::BIGINT - 1] - g.vs[j[1]::BIGINT]) <= 0.1 * abs(g.vs[j[1]::BIGINT]) THEN (walk.r[j[1]::BIGINT] + acc[-1]) - walk.r[j[1]::BIGINT - 1]
+        ELSE g.vs[j[1]::BIGINT] END), [g.vs[1]]) FROM walk JOIN g ON g.y = walk.y + 1),
     c AS (SELECT y, unnest(range(len(vs))) AS x, unnest(vs) AS value, unnest(r) AS restored FROM walk)
     SELECT c.y, c.x, c.value, c.restored, coalesce(abs((a.restored + b.restored) - d.restored - c.value) <= 0.1 * abs(c.value), false) AS zero FROM c
       LEFT JOIN c a ON a.y = c.y - 1 AND a.x = c.x LEFT JOIN c b ON b.y = c.y AND b.x = c.x - 1 LEFT JOIN c d ON d.y = c.y - 1 AND d.x = c.x - 1""",
@@ -769,6 +770,17 @@ def hex_near_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("z", "y", "x", F.round("prediction", 9).alias("prediction"))
 
 
+@query("coded_by_faces", f"SELECT y, x, v AS value FROM {_E2}")
+def coded_by_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.decompress_predicted(P.compress_predicted(events(spark, sf_dir, "Lat_Lon"), "near")).df.select("y", "x", "value")
+
+
+@query("coded_by_distance", _NODES)
+def coded_by_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of each level that inverse distances predict."""
+    return P.compress_predicted(events(spark, sf_dir, "Lat_Lon"), "distance").differences.groupBy("level").agg(F.count("*").alias("n"))
+
+
 @query("linear_reconstruction")
 def linear_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.linear_reconstruction(vectors(spark, sf_dir)).select("y", "x", "place", "predictor", "zeros")

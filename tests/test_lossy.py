@@ -13,6 +13,7 @@ from gridloom.operators import lossy as L
 from gridloom.operators import metrics as Q
 from gridloom.operators import neighbours as N
 from gridloom.operators.grid import Grid, from_values, linear
+from gridloom.operators.predicted import compress_predicted, decompress_predicted
 from gridloom.plans.domain import Domain, Layout
 from gridloom.plans.errors import ErrorRules
 from gridloom.plans.types import elem
@@ -234,3 +235,18 @@ def test_quality(spark):
     assert Q.equality(Q.paired(a, a)).first()["equal"] and Q.quality(Q.paired(a, a)).first()["psnr"] is None
     short = Grid(b.df.filter(F.col("x") < 3), b.meta)
     assert Q.equality(Q.paired(a, short)).first()["mismatches"] == 3
+
+
+@pytest.mark.parametrize("method, dims, layout", [("near", (5, 7), "Lat_Lon"), ("distance", (6, 3), "Lat_Lon"), ("weighted", (3, 5, 4), "Lev_Lat_Lon")])
+def test_coding_against_predictions(spark, method, dims, layout):
+    """Every level's differences restore the grid bit by bit, and few bits are needed where predictions are near."""
+    a, g = field(spark, dims, layout)
+    made = compress_predicted(g, method)
+    levels = {r["level"]: r["n"] for r in made.differences.groupBy("level").agg(F.count("*").alias("n")).collect()}
+    assert levels == {k: math.prod(-(-n // 2**k) for n in dims) for k in range(g.meta.depth)}
+    assert values(decompress_predicted(made)) == a.ravel().tolist()
+    flat = grid(spark, [3.5] * math.prod(dims), "double", layout, dims)
+    if method != "weighted":  # its weights add up to 1 only up to rounding
+        assert compress_predicted(flat, method).differences.filter("nbits > 3").count() == 0
+    with pytest.raises(ValueError):
+        compress_predicted(g, "guess")
