@@ -781,7 +781,24 @@ def coded_by_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.compress_predicted(events(spark, sf_dir, "Lat_Lon"), "distance").differences.groupBy("level").agg(F.count("*").alias("n"))
 
 
-@query("linear_reconstruction")
+def _pattern(x: str) -> str:
+    return f"(CAST(CAST(CAST({x} AS FLOAT) AS BIT) AS INTEGER)::BIGINT & 4294967295)"
+
+
+@query(
+    "linear_reconstruction",
+    f"""WITH g AS (SELECT y, x, v::FLOAT AS v FROM {_V}), j AS (SELECT g.y, g.x, g.v, a.v AS f0, b.v AS f1, c.v AS f2, d.v AS f3 FROM g
+      LEFT JOIN g a ON a.y = g.y AND a.x = g.x - 1 LEFT JOIN g b ON b.y = g.y AND b.x = g.x + 1
+      LEFT JOIN g c ON c.y = g.y - 1 AND c.x = g.x LEFT JOIN g d ON d.y = g.y + 1 AND d.x = g.x),
+    k AS (SELECT y // 2 AS y, x // 2 AS x, row_number() OVER (PARTITION BY y // 2, x // 2 ORDER BY y % 2, x % 2) - 1 AS place, v,
+      CASE WHEN x % 2 = 1 THEN f1 ELSE f0 END AS ox, CASE WHEN x % 2 = 1 THEN f0 ELSE f1 END AS kx, CASE WHEN y % 2 = 1 THEN f3 ELSE f2 END AS oy, CASE WHEN y % 2 = 1 THEN f2 ELSE f3 END AS ky FROM j),
+    s AS (SELECT y, x, v, coalesce(ox::DOUBLE, 0) + coalesce(oy::DOUBLE, 0) AS s, (ox IS NOT NULL)::INTEGER + (oy IS NOT NULL)::INTEGER AS o, (kx IS NOT NULL)::INTEGER + (ky IS NOT NULL)::INTEGER AS k FROM k),
+    f AS (SELECT y, x, count(*) AS n, CASE WHEN count(*) = 1 THEN min(v) ELSE (max(v)::DOUBLE / 2 + min(v)::DOUBLE / 2)::FLOAT END AS middle, (sum(v::DOUBLE) / count(*))::FLOAT AS mean FROM k GROUP BY y, x),
+    c AS (SELECT y, x, place, v AS p FROM k UNION ALL SELECT y, x, n, middle FROM f UNION ALL SELECT y, x, n + 1, mean FROM f),
+    r AS (SELECT c.y, c.x, c.place, c.p, s.v, CASE WHEN o = 0 THEN p ELSE ((s.s + p::DOUBLE * k) / (k + o))::FLOAT END AS b FROM c JOIN s ON c.y = s.y AND c.x = s.x),
+    z AS (SELECT y, x, place, any_value(p) AS predictor, sum({_lz(f"abs({_pattern('v')} - {_pattern('b')})")})::BIGINT AS zeros FROM r GROUP BY y, x, place)
+    SELECT y, x, place::INTEGER AS place, predictor, zeros FROM (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY zeros DESC, place) AS best FROM z) WHERE best = 1""",
+)
 def linear_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.linear_reconstruction(vectors(spark, sf_dir)).select("y", "x", "place", "predictor", "zeros")
 
@@ -796,9 +813,18 @@ def scanline_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("m", "i", F.array_min(F.transform("line", lambda p: p["i"])).alias("first"), F.array_max(F.transform("line", lambda p: p["i"])).alias("last"), F.size("line").alias("n"))
 
 
-@query("scanline_predict")
+@query(
+    "scanline_predict",
+    f"""WITH g AS (SELECT y, x, v FROM {_E2}), f AS (SELECT y // 2 AS fy, x // 2 AS fx, list({{'v': v, 'y': y, 'x': x}} ORDER BY v DESC, y % 2, x % 2)[1] AS high, list({{'v': v, 'y': y, 'x': x}} ORDER BY v, y % 2, x % 2)[1] AS low FROM g GROUP BY ALL),
+    i AS (SELECT *, row_number() OVER (ORDER BY {_morton('fx', 'fy')}) - 1 AS i FROM f),
+    p AS (SELECT i, high AS at FROM i UNION ALL SELECT i, low FROM i WHERE low.v <> high.v),
+    n AS (SELECT g.y, g.x, g.v, p.at.v AS pv, ((p.at.y - g.y) ** 2 + (p.at.x - g.x) ** 2)::DOUBLE AS d FROM g JOIN i ON i.fy = g.y // 2 AND i.fx = g.x // 2 JOIN p ON p.i >= greatest(i.i - 26, 0) AND p.i < greatest(i.i - 26, 0) + 53),
+    r AS (SELECT y, x, any_value(v) AS value, list_sort(list(d))[7] AS radius, min(CASE WHEN d = 0 THEN pv END) AS hit FROM n GROUP BY y, x),
+    u AS (SELECT y, x, sum(CASE WHEN d > 0 AND (radius IS NULL OR d < radius) THEN pow(d, -8) * pv END) / sum(CASE WHEN d > 0 AND (radius IS NULL OR d < radius) THEN pow(d, -8) END) AS p FROM n JOIN r USING (y, x) GROUP BY y, x)
+    SELECT y, x, value, round(coalesce(hit, p), 6) AS prediction FROM r JOIN u USING (y, x)""",
+)
 def scanline_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.scanline_prediction(events(spark, sf_dir, "Lat_Lon")).select("y", "x", "value", "prediction")
+    return N.scanline_prediction(events(spark, sf_dir, "Lat_Lon")).select("y", "x", "value", F.round("prediction", 6).alias("prediction"))
 
 
 _BINS = "CASE WHEN abs(v - p) <= 0.5 THEN 0 WHEN floor(abs(v - p) / 1.0 + 0.5) < 2045 THEN floor(abs(v - p) / 1.0 + 0.5) + CASE WHEN v - p < 0 THEN 2045 ELSE 0 END ELSE 2045 END::INTEGER"
