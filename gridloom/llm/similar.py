@@ -2,7 +2,8 @@
 
 SimHash finds the nearest pairs cheaply; what its bits cannot reach is found by prefixes. In any order of all shingles two sets
 that similar share one of the first ``n // 5 + 1`` of each, so rows of these prefixes meet by shingle and no pair is
-lost. Every link is checked on the whole sets, which are made for the documents of such pairs alone.
+lost. Bitmaps of the sets rule out pairs that lack too much in one another, and every link is checked on the whole sets, which are
+made for the documents of the pairs that are left alone.
 
 A shingle's documents are first held against the one that is richest in common shingles, so a large group of near copies
 costs a row per document and not per pair. Documents that are linked then are not paired again; all others of a shingle
@@ -33,6 +34,8 @@ SPREAD = 64
 GROUP = 20_000
 #: Pairs that are looked at together.
 PAIRS = 1 << 18
+#: Longs in a set's bitmap.
+BITMAP = 32
 _EMPTY = np.uint64(0x51AFD7ED558CCD6D)
 
 
@@ -66,20 +69,29 @@ def names(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def bitmaps(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A row of ``BITMAP`` longs per set, with a bit for each of its shingles. A bit that one set has and another lacks stands for a shingle
+    at least that the other lacks."""
+    out = np.zeros((len(counts), BITMAP), np.uint64)
+    place = mix(values + _EMPTY) % np.uint64(64 * BITMAP)
+    np.bitwise_or.at(out, (np.repeat(np.arange(len(counts)), counts), (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
+    return out
+
+
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def _named(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, text_hash, node, fp, n``: each row's set, its SimHash and size."""
+    """``doc_id, text_hash, node, fp, n, bits``: each row's set, its SimHash, size and bitmap."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, 2, 2 << 20):
             v, n = shingles(*flat_bytes(batch.column(2)), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names(v, n).view(np.int64)), pa.array(simhash.majority(v, n).view(np.int64)), pa.array(n.astype(np.int32))], names=["doc_id", "text_hash", "node", "fp", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names(v, n).view(np.int64)), pa.array(simhash.majority(v, n).view(np.int64)), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BITMAP), pa.array(bitmaps(v, n).view(np.int64).ravel()))], names=["doc_id", "text_hash", "node", "fp", "n", "bits"])
 
-    return docs.mapInArrow(lean(run), "doc_id long, text_hash long, node long, fp long, n int")
+    return docs.mapInArrow(lean(run), "doc_id long, text_hash long, node long, fp long, n int, bits array<long>")
 
 
 def _frequent(docs: DataFrame, total: int, width: int) -> np.ndarray:
@@ -222,7 +234,12 @@ def _sets_of(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, folder: str, number: int, width: int) -> DataFrame:
-    """The pairs that are similar, by the whole sets of their documents alone, which are made for this and leave again."""
+    """The pairs that are similar. Bitmaps first rule out those that lack too much; the whole sets of the others are made for this and leave again."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
+    lacks = lambda x, y: F.aggregate(F.zip_with(f"{x}_bits", f"{y}_bits", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, k: s + k)
+    least = 4 * (F.col("a_n") + F.col("b_n"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter((9 * (F.col("a_n") - lacks("a", "b")) >= least) & (9 * (F.col("b_n") - lacks("b", "a")) >= least))
+    pairs = written(pairs.select("a", "b"), folder, f"near-{number}")
     used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     places = written(sets.join(used, "node").select("at", "text_hash"), folder, f"places-{number}")
     whole = written(_sets_of(docs, places, width), folder, f"whole-{number}")
@@ -243,8 +260,8 @@ def _linked(df: DataFrame, id_col: str, text_col: str, width: int, group: int) -
     spark, folder = df.sparkSession, shared_folder(df.sparkSession)
     docs = _texts(df, id_col, text_col)
     rows = written(_named(docs, width), folder, "rows")
-    sets = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct(_at().alias("at"), "text_hash")).alias("first"), F.min("fp").alias("fp"))
-    sets = written(sets.select("node", "least", "first.at", "first.text_hash", "fp"), folder, "sets")
+    sets = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct(_at().alias("at"), "text_hash")).alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("bits").alias("bits"))
+    sets = written(sets.select("node", "least", "first.at", "first.text_hash", "fp", "n", "bits"), folder, "sets")
     met = written(_met(prefixes(docs, _frequent(docs, rows.count(), width), width)), folder, "met")
     sweep(spark)
 
@@ -266,7 +283,7 @@ def _linked(df: DataFrame, id_col: str, text_col: str, width: int, group: int) -
     for name in ("met", "labelled", "chiefs", "pairs-0", "pairs-1"):
         discard(spark, f"{folder}/{name}")
     sweep(spark)
-    return rows, sets, roots, folder
+    return rows.select("doc_id", "node"), sets.select("node", "least", "at", "text_hash"), roots, folder
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, group: int = GROUP) -> DataFrame:

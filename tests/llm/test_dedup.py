@@ -320,3 +320,24 @@ def test_pipeline_on_nothing(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SMALLEST)
         assert docs.filter(F.lit(True)).count() == 0
+
+
+def test_stages_take_any_rows_and_names(spark):
+    """Columns named as operators name theirs, null texts and ids, and repeated rows."""
+    names = ("score", "predicted", "held_out", "kept", "kept_text", "n_words", "n_removed", "at", "node", "rest", "own 0", "Text_hash")
+    docs = spark.read.parquet(f"{SMALLEST}/documents.parquet").filter("doc_id < 80")
+    docs = docs.unionByName(docs.filter("doc_id in (3, 4)")).unionByName(docs.filter("doc_id < 3").withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.filter("doc_id = 9").withColumns({"doc_id": F.lit(900).cast("long"), "text": F.lit(None).cast("string")}))
+    docs = docs.select(*[F.lit(f"own {x}").alias(x) for x in names], *docs.columns)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SMALLEST)
+        if k == 4:
+            assert out.filter("doc_id = 900").count() == 1
+            continue
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        rows = out.collect()
+        assert rows and all(r[x] == f"own {x}" for r in rows for x in names), name
+        ids = [r["doc_id"] for r in rows]
+        if k == 2:
+            assert len(set(ids)) == len(ids) and None not in ids and 900 in ids
+        if k == 3:
+            assert len(rows) == docs.count()
