@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import bits as B
 from gridloom.functions import families as A
+from gridloom.functions import suffixes
 from gridloom.functions.coords import delinearize, linearize, morton_decode, morton_encode, morton_of, sub_index
 from gridloom.operators import entropy as E
 from gridloom.operators import lossy as L
@@ -505,7 +506,7 @@ def huffman_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suffix_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = compress(vectors(spark, sf_dir), "prefix").residuals.filter("level = 0")
     rows = rows.select(F.expr("m div 4096").alias("chunk"), F.col("m").alias("pos"), "payload", "nbits")
-    out = [E.encode_suffixes(rows, m).select(F.lit(m).alias("method"), "chunk", "n", F.octet_length("data").alias("bytes")) for m in ("plain", "indicated", "first_one", "xor_four")]
+    out = [E.encode_suffixes(rows, m).select(F.lit(m).alias("method"), "chunk", "n", F.octet_length("data").alias("bytes")) for m in suffixes.ENCODERS]
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
