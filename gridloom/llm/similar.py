@@ -34,8 +34,8 @@ SPREAD = 64
 GROUP = 20_000
 #: Pairs that are looked at together.
 PAIRS = 1 << 18
-#: Longs in a set's bitmap.
-BITMAP = 32
+#: Longs in a set's bitmap at least.
+LEAST_LONGS = 4
 _EMPTY = np.uint64(0x51AFD7ED558CCD6D)
 
 
@@ -69,13 +69,18 @@ def names(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def bitmaps(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A row of ``BITMAP`` longs per set, with a bit for each of its shingles. A bit that one set has and another lacks stands for a shingle
-    at least that the other lacks."""
-    out = np.zeros((len(counts), BITMAP), np.uint64)
-    place = mix(values + _EMPTY) % np.uint64(64 * BITMAP)
-    np.bitwise_or.at(out, (np.repeat(np.arange(len(counts)), counts), (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
-    return out
+def bitmaps(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(longs of all sets' bitmaps on end, how many each has), with a bit for each shingle and about four bits a shingle.
+
+    A bit that one set has and another lacks stands for a shingle at least that the other lacks. Lengths are powers of two, so the longer of two
+    bitmaps is folded to the other's length by OR of its halves.
+    """
+    longs = np.maximum(LEAST_LONGS, 1 << np.ceil(np.log2(np.maximum(counts / 16, 1))).astype(np.int64))
+    out, begin = np.zeros(int(longs.sum()), np.uint64), np.cumsum(longs) - longs
+    own = np.repeat(np.arange(len(counts)), counts)
+    place = mix(values + _EMPTY) % (longs[own] * 64).astype(np.uint64)
+    np.bitwise_or.at(out, begin[own] + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return out, longs
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -89,7 +94,9 @@ def _named(docs: DataFrame, width: int) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, 2, 2 << 20):
             v, n = shingles(*flat_bytes(batch.column(2)), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names(v, n).view(np.int64)), pa.array(simhash.majority(v, n).view(np.int64)), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BITMAP), pa.array(bitmaps(v, n).view(np.int64).ravel()))], names=["doc_id", "text_hash", "node", "fp", "n", "bits"])
+            bits, longs = bitmaps(v, n)
+            bits = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(longs)).astype(np.int32)), pa.array(bits.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names(v, n).view(np.int64)), pa.array(simhash.majority(v, n).view(np.int64)), pa.array(n.astype(np.int32)), bits], names=["doc_id", "text_hash", "node", "fp", "n", "bits"])
 
     return docs.mapInArrow(lean(run), "doc_id long, text_hash long, node long, fp long, n int, bits array<long>")
 
@@ -236,9 +243,13 @@ def _sets_of(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, folder: str, number: int, width: int) -> DataFrame:
     """The pairs that are similar. Bitmaps first rule out those that lack too much; the whole sets of the others are made for this and leave again."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
-    lacks = lambda x, y: F.aggregate(F.zip_with(f"{x}_bits", f"{y}_bits", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, k: s + k)
+    # sizes that may be similar have bitmaps of one length or of twice that
+    folded = lambda x, y: F.when(F.size(f"{x}_bits") <= F.size(f"{y}_bits"), F.col(f"{x}_bits")).otherwise(F.zip_with(F.slice(f"{x}_bits", 1, F.size(f"{y}_bits")), F.slice(f"{x}_bits", F.size(f"{y}_bits") + 1, F.size(f"{y}_bits")), lambda p, q: p.bitwiseOR(q)))
+    lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, k: s + k)
     least = 4 * (F.col("a_n") + F.col("b_n"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter((9 * (F.col("a_n") - lacks("a", "b")) >= least) & (9 * (F.col("b_n") - lacks("b", "a")) >= least))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(9 * F.least("a_n", "b_n") >= least)
+    pairs = pairs.select("a", "b", "a_n", "b_n", folded("a", "b").alias("x"), folded("b", "a").alias("y"))
+    pairs = pairs.filter((9 * (F.col("a_n") - lacks("x", "y")) >= least) & (9 * (F.col("b_n") - lacks("y", "x")) >= least))
     pairs = written(pairs.select("a", "b"), folder, f"near-{number}")
     used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     places = written(sets.join(used, "node").select("at", "text_hash"), folder, f"places-{number}")

@@ -208,7 +208,7 @@ def transactions(records: DataFrame) -> DataFrame:
 
 def captures(df: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Writes archives of ``df``, reads them back and assembles them: ``page_id, payload_bytes, payload_digest, record_type, refers_to``,
-    and then ``capture_id, request, capture, metadata``, the nested records (without payloads, which ``read`` gives).
+    and then ``capture_id, request, capture, metadata``, the nested records (without payloads, dates and other fields, which ``read`` gives).
 
     A row per row: null ids, repeated rows and repeated ids with other payloads included; see ``write``. Null payloads are empty; an
     empty table gives an empty result; other columns are not read, whatever their names; a very long payload is one record.
@@ -218,8 +218,9 @@ def captures(df: DataFrame, folder: str | None = None, id_col: str = "page_id",
     write(df, path, id_col, url_col, payload_col)
     page = lambda name: F.regexp_extract(name, r"^urn:page:(-?\d+):", 1)
     number = lambda name: F.nullif(page(name), F.lit("")).cast("long")
-    found = transactions(read(spark, path, payloads=False).drop("payload"))
-    stated = F.get("metadata", F.lit(0))["fields"]["payloadLength"].cast("long")
+    records = read(spark, path, payloads=False).withColumn("stated_length", F.col("fields")["payloadLength"].cast("long"))
+    found = transactions(records.drop("payload", "date", "fields"))
+    stated = F.get("metadata", F.lit(0))["stated_length"]
     return found.select(
         number(F.coalesce(F.col("request.concurrent_to"), "capture_id")).alias("page_id"),
         F.coalesce(F.col("capture.payload_length"), stated).alias("payload_bytes"),
