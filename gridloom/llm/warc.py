@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import lean, shared_folder
+from gridloom.llm.common import lean, shared_folder, written
 
 #: Payloads from this size on are stored once.
 LEAST = 1000
@@ -58,7 +58,8 @@ def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url
     rows = _rows(df, id_col, url_col, payload_col)
     # ids and digests alone: a row per id and payload, then those that have a chief or come several times
     light = rows.select("id", F.octet_length("payload").alias("size"), "digest")
-    known = light.groupBy("id", "digest", "size").agg(F.count("*").alias("copies"))
+    known = written(light.groupBy("id", "digest", "size").agg(F.count("*").alias("copies")), shared_folder(df.sparkSession), "known")
+    total = known
     shared = known.filter(F.col("size") >= LEAST).groupBy("digest", "size").agg(F.max("id").alias("chief"), F.min("id").alias("first"))
     shared = shared.filter("first < chief").select("digest", "size", "chief")
     known = known.join(shared, ["digest", "size"], "left").withColumn("chief", F.when(F.col("id") < F.col("chief"), F.col("chief")))
@@ -66,7 +67,7 @@ def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url
     alike = F.col("id").isNull() | (F.coalesce("copies", F.lit(1)) > 1)
     main = F.concat(_name(F.col("id"), F.col("digest")), F.when(alike, F.concat(F.lit(":"), F.uuid())).otherwise(""))
     rows = rows.withColumn("name", main)
-    size = light.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
+    size = total.agg(F.sum("copies").alias("n"), F.sum(F.col("size") * F.col("copies")).alias("bytes")).first()
     per_file = 3 * max(10, int(PER_FILE * size["n"] / max(size["bytes"] or 0, 1))) if size["n"] else 3
     http = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
     main, url = F.col("name"), F.col("url")
