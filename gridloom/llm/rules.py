@@ -21,6 +21,8 @@ PRIOR = 4.0
 #: Mean log ratio below which a text is rejected.
 THRESHOLD = -0.16
 LEAST_WORDS, MOST_REPEATED = 50, 50
+#: Bits that trusted ids are hashed to (8 MB at most): a row whose bit is unset is not trusted, others are looked up.
+BITS = 1 << 26
 SYMBOLS = "#*$%&|<>"
 _SPACES = r" \t\n\x0b\x0c\r"
 
@@ -45,15 +47,31 @@ def _hashed(df: DataFrame, id_col: str, text_col: str, more: tuple[Column, ...]
     return rows.withColumn("n_words", F.size("w").cast("long")).withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
 
 
+def marked(rows: DataFrame, ids: DataFrame, bits: int = BITS) -> DataFrame:
+    """``rows`` (``doc_id, text``) with ``trusted``: 1 where ``ids`` (distinct) has the id, else null.
+
+    Only rows whose id's bit is set are joined and their texts moved, by a plain join, so Spark can split an id with many
+    rows; all others are done where they are. The plan is the same whatever the number of ids. With many more ids than
+    bits more rows are moved, and the marks stay exact.
+    """
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit(bits - 1).cast("long")) + 1
+    number, at = F.bitmap_bucket_number(place).alias("number"), F.bitmap_bit_position(place).alias("at")
+    maps = ids.select(number, at).repartition("number").groupBy("number").agg(F.bitmap_construct_agg("at").alias("map"))
+    rows = rows.select("doc_id", "text", number, at).join(F.broadcast(maps), "number", "left")
+    byte = F.conv(F.hex(F.substring("map", (F.col("at") / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    likely = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (F.col("at") % 8).cast("int") + 1)) != 0, F.lit(False))
+    found = rows.filter(likely).select("doc_id", "text").join(ids.withColumn("trusted", F.lit(1)).hint("merge"), "doc_id", "left")
+    return found.unionByName(rows.filter(~likely).select("doc_id", "text", F.lit(None).cast("int").alias("trusted")))
+
+
 def bucket_ratios(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Log ratios of all buckets in whole steps, comma-separated: a value of fixed size, whatever the corpus.
 
-    ``trusted`` has the ids (``doc_id``) of trusted rows; all of them count. A plain join marks them, so Spark can split
-    an id with many rows; it moves texts once where the ids are too many for Spark to broadcast. n-grams of all rows are
-    counted in one pass: tasks add up before a shuffle of a row per bucket and task.
+    ``trusted`` has the ids (``doc_id``) of trusted rows; all of them count. n-grams of all rows are counted in one pass:
+    tasks add up before a shuffle of a row per bucket and task.
     """
-    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("trusted", F.lit(1))
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id", "left")
+    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
+    rows = marked(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), ids)
     rows = _hashed(rows, "doc_id", "text", (F.col("trusted"),))
     grams = rows.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(F.concat(F.col("h"), _pairs())).alias("g"))
     counts = grams.groupBy(_bucket(F.col("g")).alias("bucket")).agg(F.count("*").alias("raw"), F.sum("trusted").alias("target")).toPandas()

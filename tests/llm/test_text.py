@@ -180,6 +180,24 @@ def test_rules_without_trust_or_rows(spark):
     assert rules.judge(frame(spark, []), none).count() == 0
 
 
+def test_rules_move_no_untrusted_text(spark):
+    ids = [*range(0, 3000, 7), 9_000_000_001]
+    df = spark.createDataFrame([(k if k % 100 else None, f"t{k}") for k in range(3000)] + [(7, "again"), (9_000_000_001, None)], "doc_id long, text string")
+    trusted = spark.createDataFrame([(x,) for x in ids], "doc_id long")
+    want = sorted((r["doc_id"] or -1, r["text"] or "", int(r["doc_id"] in ids)) for r in df.collect())
+    before, plans = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), []
+    for threshold, bits in (("-1", rules.BITS), ("100m", rules.BITS), ("-1", 1 << 10)):  # the last with false hits
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            got = rules.marked(df, trusted, bits)
+            assert sorted((r["doc_id"] or -1, r["text"] or "", r["trusted"] or 0) for r in got.collect()) == want
+            plans.append(got._jdf.queryExecution().executedPlan().toString())
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # whatever the size of the ids, one sorted join of the rows whose bit is set
+    assert [p.split("== Initial Plan ==")[0].count("SortMergeJoin") for p in plans] == [1, 1, 1]
+
+
 def test_rules_run_no_python(spark):
     plan = queries.op2_rules(spark, SMALLEST)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
