@@ -2,17 +2,20 @@
 
 The symbols of many words lie in one flat array. In each round the pairs of neighbours are looked up by binary
 search over the sorted pair keys, each word's lowest rank is found by a segmented minimum, all its occurrences
-merge from left to right, and words without a known pair leave. As every merge makes a symbol of its own and
+merge from left to right, and words without a known pair leave; after the first round only pairs beside a merge are
+looked up. As every merge makes a symbol of its own and
 later merges have higher ranks, this gives what merging one pair at a time gives.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +53,7 @@ class WordBpe:
         self.tokens = [""] * (1 + max([*vocab.values(), *self.specials.values()]))
         for token, i in [*vocab.items(), *self.specials.items()]:
             self.tokens[i] = token
+        self.numbers = [*map(str, range(len(self.tokens)))]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.size = np.int64(len(self.tokens))
         keys = np.array([vocab[a] * int(self.size) + vocab[b] for a, b in pairs], np.int64)
@@ -58,6 +62,12 @@ class WordBpe:
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
 
+    def look(self, symbols: np.ndarray, places: np.ndarray, ranks: np.ndarray) -> None:
+        """Puts the ranks of the pairs that begin at ``places`` into ``ranks``."""
+        keys = symbols[places] * self.size + symbols[places + 1]
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        ranks[places] = np.where(self.keys[at] == keys, self.ranks[at], _NONE)
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words on end, and how many each has; no word is empty."""
         if not words:
@@ -67,22 +77,19 @@ class WordBpe:
         symbols = self.inner[data]
         ends = np.cumsum(lengths) - 1
         symbols[ends] = self.last[data[ends]]
+        last = np.zeros(len(symbols), bool)  # a word's last symbol has no neighbour
+        last[ends] = True
+        ranks = np.full(len(symbols), _NONE, np.int32)
+        self.look(symbols, np.flatnonzero(~last), ranks)
         names = np.arange(len(words))
         done = []
-        while len(names):
-            starts = np.cumsum(lengths) - lengths
-            keys = symbols[:-1] * self.size + symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            ranks = np.full(len(symbols), _NONE, np.int32)
-            hit = self.keys[at] == keys
-            ranks[:-1][hit] = self.ranks[at[hit]]
-            ranks[starts[1:] - 1] = _NONE  # a word's last symbol has no neighbour
-            least = np.minimum.reduceat(ranks, starts)
+        while True:
+            least = np.minimum.reduceat(ranks, np.cumsum(lengths) - lengths)
             over = least == _NONE
             if over.any():
                 keep = np.repeat(~over, lengths)
                 done.append((names[over], lengths[over], symbols[~keep]))
-                symbols, ranks, names, lengths, least = symbols[keep], ranks[keep], names[~over], lengths[~over], least[~over]
+                symbols, ranks, last, names, lengths, least = symbols[keep], ranks[keep], last[keep], names[~over], lengths[~over], least[~over]
                 if not len(names):
                     break
             chosen = (ranks == np.repeat(least, lengths)).nonzero()[0]
@@ -92,10 +99,15 @@ class WordBpe:
             run = np.maximum.accumulate(np.where(first, np.arange(len(chosen)), 0))
             chosen = chosen[(np.arange(len(chosen)) - run) % 2 == 0]
             symbols[chosen] = self.merged[ranks[chosen]]
+            ranks[chosen] = _NONE
+            last[chosen] = last[chosen + 1]
             stay = np.ones(len(symbols), bool)
             stay[chosen + 1] = False
             starts = np.cumsum(lengths) - lengths
-            symbols, lengths = symbols[stay], np.add.reduceat(stay.astype(np.int64), starts)
+            symbols, ranks, last, lengths = symbols[stay], ranks[stay], last[stay], np.add.reduceat(stay, starts, dtype=np.int64)
+            at = chosen - np.arange(len(chosen))  # where the merged symbols stand now
+            near = np.concatenate([at, at[at > 0] - 1])
+            self.look(symbols, near[~last[near]], ranks)
         names, counts, ids = (np.concatenate(x) for x in zip(*done, strict=True))
         out = np.zeros(len(words), np.int64)
         out[names] = counts
@@ -111,10 +123,15 @@ class WordBpe:
 
     def split(self, chunks: list[bytes]) -> list[list[str]]:
         """The words of each chunk, special tokens as they are. A chunk has no ASCII white space, so no rule reaches over its ends."""
-        strings = [x.decode("utf-8") for x in chunks]
-        special = {k for k, x in enumerate(strings) if "\0" in x or "<|" in x and self.cut and self.cut.search(x)}
         out: list[list[str]] = [[] for _ in chunks]
-        plain = [k for k in range(len(chunks)) if k not in special]
+        strings = [""] * len(chunks)
+        for k, x in enumerate(chunks):
+            if x.isalpha():  # of ASCII letters alone
+                out[k] = [x.lower().decode()]
+            else:
+                strings[k] = x.decode("utf-8")
+        special = {k for k, x in enumerate(strings) if "\0" in x or "<|" in x and self.cut and self.cut.search(x)}
+        plain = [k for k, x in enumerate(strings) if x and k not in special]
         found = iter(_SPLIT.findall(self.normal("\0".join(strings[k] for k in plain) + "\0")))
         for k in plain:
             out[k] = [*iter(found.__next__, "\0")]
@@ -127,7 +144,7 @@ class WordBpe:
         """Decimal ids and token texts of each word, joined by spaces."""
         flat, counts = self.merge([x.encode() for x in words])
         ids = flat.tolist()
-        numbers, texts_ = [*map(str, ids)], [*map(self.tokens.__getitem__, ids)]
+        numbers, texts_ = [*map(self.numbers.__getitem__, ids)], [*map(self.tokens.__getitem__, ids)]
         ends = np.cumsum(counts).tolist()
         spans = [*zip([0, *ends[:-1]], ends, strict=True)] if ends else []
         return [" ".join(numbers[a:b]) for a, b in spans], [" ".join(texts_[a:b]) for a, b in spans]
@@ -161,21 +178,18 @@ class Encoder:
     def learn(self, chunked: list[list[bytes]]) -> dict[bytes, tuple[str, str]]:
         """What the chunks give that are not remembered, for this batch alone or from now on."""
         every = set().union(*chunked)
-        new = [x for x in every if x not in self.seen]
         if self.held > self.most:
             self.seen, self.held = {}, 0
-            new = [*every]
+        new = [*every.difference(self.seen)]
         split = self.model.split(new)
         words = [*set().union(*split) - self.model.specials.keys()]
-        numbers, texts_ = self.model.spelled(words)
-        as_ids = dict(zip(words, numbers, strict=True)) | {x: str(i) for x, i in self.model.specials.items()}
-        as_text = dict(zip(words, texts_, strict=True)) | {x: x for x in self.model.specials}
+        known = dict(zip(words, zip(*self.model.spelled(words), strict=True), strict=True)) | {x: (str(i), x) for x, i in self.model.specials.items()}
         long = {}
         for chunk, one in zip(new, split, strict=True):
             if len(one) == 1:
-                found = (as_ids[one[0]], as_text[one[0]])
+                found = known[one[0]]
             else:
-                found = (" ".join([as_ids[x] for x in one]), " ".join([as_text[x] for x in one]))
+                found = (" ".join([known[x][0] for x in one]), " ".join([known[x][1] for x in one]))
             if len(chunk) > self.LONG:
                 long[chunk] = found
             else:
@@ -188,8 +202,11 @@ class Encoder:
         """For each text the decimal ids joined by spaces, and the decoded text."""
         long = self.learn(chunked)
         for chunks in chunked:
-            pairs = [self.seen.get(x) or long[x] for x in chunks]
-            ids, out = [x[0] for x in pairs], [x[1] for x in pairs]
+            try:
+                pairs = [*map(self.seen.__getitem__, chunks)]
+            except KeyError:
+                pairs = [self.seen.get(x) or long[x] for x in chunks]
+            ids, out = [*map(itemgetter(0), pairs)], [*map(itemgetter(1), pairs)]
             if "" in ids:  # white space beyond ASCII, or what gives no token
                 ids, out = [x for x in ids if x], [x for x in out if x]
             yield " ".join(ids), " ".join(out)
@@ -210,20 +227,24 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        for batch in batches(rows, 1):
-            out: dict[str, list] = {x: [] for x in outputs}
-            counts = []
-            for ids, text in encoder.ids_and_text([x.split() for x in texts(batch.column(1))]):
-                counts.append(ids.count(" ") + 1 if ids else 0)
-                if "ids" in out:
-                    out["ids"].append(np.array(ids.split(), np.int32))
-                if "decoded" in out:
-                    out["decoded"].append(text)
-                if "ids_sha256" in out:
-                    out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
-                if "decoded_sha256" in out:
-                    out["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), *(pa.array(out[x], kinds[x]) for x in outputs)], names=["doc_id", "n_tokens", *outputs])
+        gc.disable()  # what is remembered are millions of tuples, and nothing here has cycles
+        try:
+            for batch in batches(rows, 1):
+                out: dict[str, list] = {x: [] for x in outputs}
+                counts = []
+                for ids, text in encoder.ids_and_text([x.split() for x in texts(batch.column(1))]):
+                    counts.append(ids.count(" ") + 1 if ids else 0)
+                    if "ids" in out:
+                        out["ids"].append(np.array(ids.split(), np.int32))
+                    if "decoded" in out:
+                        out["decoded"].append(text)
+                    if "ids_sha256" in out:
+                        out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
+                    if "decoded_sha256" in out:
+                        out["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), *(pa.array(out[x], kinds[x]) for x in outputs)], names=["doc_id", "n_tokens", *outputs])
+        finally:
+            gc.enable()
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(lean(run), "doc_id long, n_tokens long" + "".join(f", {x} {spark_kinds.get(x, 'string')}" for x in outputs))

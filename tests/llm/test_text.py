@@ -111,6 +111,19 @@ def packed_rightly(rows, texts, size=2048):
     return by_seq
 
 
+def test_bpe_looks_up_only_new_pairs(word_library, monkeypatch):
+    words = sorted({w.lower() for d in documents(50) for w in (d["text"] or "").split() if w.isascii() and w.isalpha()}) + ["aaaaaaaaa", "x" * 300]
+    looked, inner = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *more, **named: (looked.append(np.size(v)), inner(a, v, *more, **named))[1])
+    flat, counts = bpe.load(WORD_FILE).merge([w.encode() for w in words])
+    for w, ids in zip(words, np.split(flat, np.cumsum(counts)[:-1]), strict=True):
+        assert ids.tolist() == word_library.encode(w, add_special_tokens=False).ids, w
+    letters = sum(map(len, words))
+    merges = letters - len(flat)
+    # all pairs once, then two beside each merge: not all pairs again in each round
+    assert sum(looked) <= letters - len(words) + 2 * merges
+
+
 def test_packing(spark):
     texts = TEXTS + [d["text"] for d in documents()]
     rows = pack.pack(frame(spark, texts).repartition(3), BYTE_FILE).collect()
