@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import batches, lean, texts
+from gridloom.llm.common import KEPT, batches, lean, texts
 
 _NONE = np.iinfo(np.int32).max
 #: White space as the tokenizer files' expressions know it; unlike Python's it lacks \x1c to \x1f.
@@ -161,6 +161,14 @@ def load(path: str) -> WordBpe:
 
 #: What chunks give, by tokenizer file; a worker process keeps it from task to task.
 _SEEN: dict[str, tuple[dict[bytes, tuple[str, str]], int]] = {}
+
+
+def _forget() -> None:
+    _SEEN.clear()
+    load.cache_clear()
+
+
+KEPT["bpe"] = _forget
 #: Bytes that a remembered chunk takes besides its characters.
 _ENTRY = 320
 
@@ -247,7 +255,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             gc.enable()
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lean(run), "doc_id long, n_tokens long" + "".join(f", {x} {spark_kinds.get(x, 'string')}" for x in outputs))
+    return rows.mapInArrow(lean(run, "bpe"), "doc_id long, n_tokens long" + "".join(f", {x} {spark_kinds.get(x, 'string')}" for x in outputs))
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -59,19 +59,35 @@ def sweep(spark: SparkSession) -> None:
         time.sleep(pause)
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for mapInArrow, giving its free memory back when the task ends: workers stay for later tasks and stages."""
+#: What operators keep in a worker from task to task: by operator, what drops it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def make_room(keeps: str | None = None) -> None:
+    """Drops what other operators than ``keeps`` have left in this worker, and gives free memory back."""
+    for name, drop in KEPT.items():
+        if name != keeps:
+            drop()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, giving free memory back when a task begins and ends, as workers stay for later tasks and stages.
+
+    What other operators than ``keeps`` remember is dropped: a stage has the memory that it needs, and not its predecessors'.
+    """
 
     def task(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(keeps)
         try:
             yield from run(rows)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):
-                pass  # another C library
+            make_room(keeps)
 
     return task
 

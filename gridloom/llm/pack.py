@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import byte_letters
-from gridloom.llm.common import batches, lean, texts
+from gridloom.llm.common import KEPT, batches, lean, texts
 
 WINDOW = 2048
 #: Tokens that a task holds before it packs them.
@@ -127,6 +127,7 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path), plain, [x["content"] for x in spec["added_tokens"]]
 
 
+KEPT["pack"] = _tokenizer.cache_clear
 #: A run of white space, or of anything else, that is longer than any word.
 _LONG_RUN = re.compile(r"\s{16384}|\S{16384}")
 
@@ -217,4 +218,4 @@ def pack(df: DataFrame, path: str, end_id: int = 1, size: int = WINDOW, id_col:
             yield made()
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lean(run), schema)
+    return rows.mapInArrow(lean(run, "pack"), schema)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridloom.llm import bpe, pack, quality, queries, rules
+from gridloom.llm.common import lean
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_FILE, BYTE_FILE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -276,3 +277,15 @@ def test_accuracy_on_held_out_rows(spark):
     right = np.mean([r["predicted"] == labels[r["doc_id"]] for r in rows])
     share = np.mean([labels[r["doc_id"]] for r in rows])
     assert right > max(share, 1 - share) + 0.02, (right, share)
+
+
+def test_workers_keep_nothing_of_other_operators():
+    def held():
+        return bpe.load.cache_info().currsize, len(bpe._SEEN), pack._tokenizer.cache_info().currsize
+
+    bpe.Encoder(WORD_FILE).learn([[b"one", b"two"]])
+    pack.Tokens(BYTE_FILE)
+    assert all(held())
+    for keeps, want in (("bpe", (1, 1, 0)), (None, (0, 0, 0))):
+        during = [held() for _ in lean(lambda rows: rows, keeps)(iter([None]))]
+        assert tuple(map(bool, during[0])) == tuple(map(bool, want)) and held() == during[0]
