@@ -160,12 +160,17 @@ def equal_tail(x: Column, width: int) -> Column:
     return F.greatest(trailing_zeros(x, width), trailing_ones(x, width))
 
 
+def drop_equal_tail(x: Column, tail: Column, width: int) -> Column:
+    """Without that run; of a pattern that is one run the highest bit stays, as nothing else says which bits were dropped."""
+    return keep_front(x, F.greatest(F.lit(width) - tail, F.lit(1)), width)
+
+
 def restore_equal_tail(x: Column, tail: Column, width: int) -> Column:
-    """The dropped run again: the complement of the lowest bit that was kept (zeros where none was)."""
+    """The dropped run again: the complement of the lowest bit that was kept; where all is one run, its highest bit."""
     low = F.when(tail >= 64, long(-1)).otherwise(minus_one(shl(long(1), tail))).bitwiseAND(mask(width))
-    kept = F.when(tail >= width, long(1)).otherwise(shr(x, tail).bitwiseAND(long(1)))
+    zeros = F.when(tail >= width, shr(x, width - 1).bitwiseAND(long(1)) == 0).otherwise(shr(x, tail).bitwiseAND(long(1)) == 1)
     clean = x.bitwiseAND(F.bitwise_not(low))
-    return F.when(kept == 1, clean).otherwise(clean.bitwiseOR(low))
+    return F.when(zeros, clean).otherwise(clean.bitwiseOR(low))
 
 
 def to_bits(x: Column, kind: Elem) -> Column:

@@ -559,7 +559,7 @@ def bit_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
         B.toggle_and_reset(b, F.col("k"), 16).alias("reset"),
         F.col("equal").cast("long").alias("equal"),
         B.apply_suffix(F.col("x"), tail, (F.col("i") * 31).bitwiseAND(B.shl(B.long(1), F.col("n")) - 1), F.col("n")).alias("suffixed"),
-        B.restore_equal_tail(B.keep_front(b, 16 - F.col("equal"), 16), F.col("equal"), 16).alias("again"),
+        B.restore_equal_tail(B.drop_equal_tail(b, F.col("equal"), 16), F.col("equal"), 16).alias("again"),
     )
 
 

@@ -88,6 +88,15 @@ def test_binary_functions(spark, width):
         assert r["shared"] == min(20, 9, lz(x ^ y, width))
 
 
+@pytest.mark.parametrize("width", [16, 32, 64])
+def test_patterns_of_one_run_come_back(spark, width):
+    top = (1 << width) - 1
+    x, tail = F.col("x"), F.col("tail")
+    df = spark.createDataFrame([(signed(v),) for v in (0, top, 1, top - 1, 1 << (width - 1), top >> 1)], "x long").withColumn("tail", B.equal_tail(x, width))
+    rows = df.select("x", B.drop_equal_tail(x, tail, width).alias("kept"), "tail").select("x", B.restore_equal_tail(F.col("kept"), tail, width).alias("back")).collect()
+    assert [r["back"] for r in rows] == [r["x"] for r in rows]
+
+
 def test_golden_value(spark):
     """1213: clear, toggle, front and suffix as a value of 32 bits."""
     x = F.col("x").cast("long")
