@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,7 @@ from gridloom.functions.packing import pack_fields, unpack_fields
 from gridloom.functions.symbols import BOUNDARY, TARGET, alphabet_size, index_symbol, symbol_index
 from gridloom.operators.pyramid import SCHEMES, Pyramid, decompress_cells
 from gridloom.plans.domain import Domain, Layout, pyramid_dims
+from gridloom.plans.storage import shared_folder, written
 from gridloom.plans.types import Elem
 
 #: Cells that are coded together; chunks are coded in parallel and each by itself.
@@ -78,15 +79,9 @@ def _tables(pyramid: Pyramid, frequencies: DataFrame) -> dict[tuple[str, int], l
     return {k: arithmetic.cumulative(v) for k, v in counts.items()}
 
 
-def encode(pyramid: Pyramid, chunk: int | None = CHUNK, order: str = "row") -> DataFrame:
-    """The pyramid as records: a row per level and chunk with its table, symbol codes and packed payloads.
-
-    Cells of one chunk meet in one task, in order; ``chunk`` None makes one chunk per level, as the single-file format
-    needs. The finest level of the prefix scheme has no codes, as lengths follow from the level above. The top values are
-    level ``depth``.
-    """
+def _coded_rows(pyramid: Pyramid, chunk: int | None, order: str) -> tuple[DataFrame, dict[tuple[str, int], list[int]]]:
+    """``var, level, chunk, pos, place, nbits, payload`` of all levels and the top, and the tables of those that have codes."""
     elem, scheme, depth = pyramid.meta.elem, pyramid.scheme, pyramid.depth
-    last = alphabet_size(scheme, elem.width) - 1
     root = pyramid.root
     if scheme == "prefix":
         nbits = F.col("len").cast("int")
@@ -100,6 +95,17 @@ def encode(pyramid: Pyramid, chunk: int | None = CHUNK, order: str = "row") -> D
     rows = rows.withColumn("chunk", F.call_function("div", F.col("pos"), long(chunk)) if chunk else long(0))
     coded = with_top.residuals if scheme != "prefix" else with_top.residuals.filter((F.col("level") > 0) | F.lit(depth == 0))
     tables = _tables(pyramid, symbol_frequencies(Pyramid(scheme, pyramid.meta, depth, coded, root)))
+    return rows.select("var", "level", "chunk", "pos", "place", "nbits", "payload"), tables
+
+
+def encode(pyramid: Pyramid, chunk: int | None = CHUNK, order: str = "row") -> DataFrame:
+    """The pyramid as records: a row per level and chunk with its table, symbol codes and packed payloads.
+
+    Cells of one chunk meet in one task, in order; ``chunk`` None makes one chunk per level. The finest level of the prefix
+    scheme has no codes, as lengths follow from the level above. The top values are level ``depth``.
+    """
+    last = alphabet_size(pyramid.scheme, pyramid.meta.elem.width) - 1
+    rows, tables = _coded_rows(pyramid, chunk, order)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         var, level, part = key
@@ -112,7 +118,33 @@ def encode(pyramid: Pyramid, chunk: int | None = CHUNK, order: str = "row") -> D
         data = pack_fields(pdf["payload"].to_numpy(), pdf["nbits"].to_numpy())
         return pd.DataFrame({"var": [var], "level": [level], "chunk": [part], "first": [int(pdf["pos"].iloc[0])], "n": [len(pdf)], "alphabet": [alphabet], "codes": [codes], "data": [data]})
 
-    return rows.select("var", "level", "chunk", "pos", "place", "nbits", "payload").groupBy("var", "level", "chunk").applyInPandas(run, STREAM)
+    return rows.groupBy("var", "level", "chunk").applyInPandas(run, STREAM)
+
+
+def encode_whole(pyramid: Pyramid, folder: str, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """What ``encode`` gives for one chunk per level, without a level's cells in one task.
+
+    Payloads stay in pieces, ``var, level, chunk, bits, data``, to be put on end bit by bit; codes, which are one sequence
+    per level, are ``var, level, alphabet, codes``, made from one byte per symbol.
+    """
+    last = alphabet_size(pyramid.scheme, pyramid.meta.elem.width) - 1
+    rows, tables = _coded_rows(pyramid, chunk, "row")
+
+    def cut(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        places = pdf["place"].dropna().astype(np.uint8).to_numpy().tobytes() if key[:2] in tables else b""
+        data = pack_fields(pdf["payload"].to_numpy(), pdf["nbits"].to_numpy())
+        return pd.DataFrame({"var": [key[0]], "level": [key[1]], "chunk": [key[2]], "bits": [int(pdf["nbits"].sum())], "places": [places], "data": [data]})
+
+    def code(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        cum, parts = tables[key], pdf.sort_values("chunk")["places"]
+        codes = arithmetic.encode_parts([*(np.frombuffer(p, np.uint8) for p in parts), [last]], cum)
+        return pd.DataFrame({"var": [key[0]], "level": [key[1]], "alphabet": [arithmetic.table_bytes(cum)], "codes": [codes]})
+
+    pieces = written(rows.groupBy("var", "level", "chunk").applyInPandas(cut, "var string, level int, chunk long, bits long, places binary, data binary"), f"{folder}/pieces")
+    coded = pieces.filter(F.octet_length("places") > 0).select("var", "level", "chunk", "places")
+    codes = written(coded.groupBy("var", "level").applyInPandas(code, "var string, level int, alphabet binary, codes binary"), f"{folder}/codes")
+    return pieces.drop("places"), codes
 
 
 def _lengths(places: np.ndarray, scheme: str, width: int) -> np.ndarray:
@@ -130,9 +162,13 @@ def decode_symbols(stream: DataFrame, scheme: str, elem: Elem) -> DataFrame:
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for r in pdf.itertuples():
-                places = arithmetic.decode(r.codes, arithmetic.table_from(r.alphabet))
-                nbits = _lengths(places, scheme, width)
-                yield pd.DataFrame({"var": r.var, "level": r.level, "pos": r.first + np.arange(len(places)), "place": places, "nbits": nbits, "payload": unpack_fields(r.data, nbits)})
+                at, skip = r.first, 0
+                for places in arithmetic.decode_parts(r.codes, arithmetic.table_from(r.alphabet)):
+                    nbits = _lengths(places, scheme, width)
+                    size = skip + int(nbits.sum())
+                    body = unpack_fields(r.data[skip // 8 : -(-size // 8)], nbits, skip % 8)
+                    yield pd.DataFrame({"var": r.var, "level": r.level, "pos": at + np.arange(len(places)), "place": places, "nbits": nbits, "payload": body})
+                    at, skip = at + len(places), size
 
     rows = stream.filter(F.octet_length("codes") > 0).select("var", "level", "first", "alphabet", "codes", "data")
     return rows.mapInPandas(run, "var string, level int, pos long, place int, nbits int, payload long")
@@ -149,13 +185,14 @@ def _keyed(rows: DataFrame, level_dims: list[tuple[int, ...]], layout: Layout) -
     return rows.withColumn("m", morton_encode(*[F.col(f"_{a}") for a in axes])).drop(*[f"_{a}" for a in axes])
 
 
-def decode(stream: DataFrame, scheme: str, meta, depth: int) -> DataFrame:
-    """``var, m, bits, len`` of the cells from records in row-major order."""
+def decode(stream: DataFrame, scheme: str, meta, depth: int, leaves: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``var, m, bits, len`` of the cells from records in row-major order; ``leaves`` gives other records of the finest prefix level from its parents."""
     kind, layout = meta.elem, meta.layout
     dim, dims = layout.dimensionality, pyramid_dims(meta.lengths, depth)
     coder = SCHEMES[scheme](kind)
     found = _keyed(decode_symbols(stream, scheme, kind), dims, layout).withColumn("symbol", index_symbol(F.col("place"), scheme, kind.width))
-    residuals = found.select("var", "level", "m", "nbits", "payload", "symbol")
+    # written, as each tile step on the way down reads its own levels and would decode all records for them
+    residuals = written(found.select("var", "level", "m", "nbits", "payload", "symbol"), f"{shared_folder(stream.sparkSession)}/decoded")
     if scheme == "multires":
         whole = stream.filter(F.col("level") == depth).select("var", "level", F.col("first").alias("pos"), "data")
         root = _keyed(whole, dims, layout).select("var", "m", F.conv(F.hex("data"), 16, -10).cast("long").alias("bits") if kind.width < 64 else _signed(F.col("data")).alias("bits"), F.lit(kind.width).alias("len"))
@@ -164,8 +201,12 @@ def decode(stream: DataFrame, scheme: str, meta, depth: int) -> DataFrame:
     shift = F.lit(kind.width) - F.col("nbits")
     root = top.select("var", "m", F.when(F.col("nbits") == 0, long(0)).otherwise(F.call_function("shiftleft", F.col("payload"), shift)).alias("bits"), F.col("nbits").alias("len"))
     above = decompress_cells(Pyramid(scheme, meta, depth, residuals, root), dim, coder, stop=1)
-    leaves = leaf_residuals(stream.filter(F.col("level") == 0), above, meta, dims)
-    return decompress_cells(Pyramid(scheme, meta, 1, leaves, above), dim, coder)
+    if leaves:
+        above = written(above, f"{shared_folder(above.sparkSession)}/above")
+        fine = leaf_residuals(leaves(above), above, meta, dims, CHUNK)
+    else:
+        fine = leaf_residuals(stream.filter(F.col("level") == 0), above, meta, dims)
+    return decompress_cells(Pyramid(scheme, meta, 1, fine, above), dim, coder)
 
 
 def _signed(data: Column) -> Column:
@@ -174,24 +215,39 @@ def _signed(data: Column) -> Column:
     return F.call_function("shiftleft", high, F.lit(32)).bitwiseOR(low)
 
 
-def leaf_residuals(stream: DataFrame, above: DataFrame, meta, dims: list[tuple[int, ...]]) -> DataFrame:
-    """Residuals of the finest prefix level, whose lengths are what their parents lack; records meet their own cells only."""
+def leaf_lengths(above: DataFrame, meta, dims: list[tuple[int, ...]]) -> DataFrame:
+    """``var, m, pos, nbits`` of the cells of the finest prefix level: what their parents lack."""
     layout, width, dim = meta.layout, meta.elem.width, meta.layout.dimensionality
-    children = F.explode(F.sequence(F.lit(0), F.lit((1 << dim) - 1))).alias("c")
-    cells = above.select("var", (F.call_function("shiftleft", F.col("m"), F.lit(dim))).alias("b"), (F.lit(width) - F.col("len")).alias("nbits"), children)
-    cells = cells.select("var", (F.col("b") + F.col("c")).alias("m"), "nbits")
     axes = [*reversed(layout.axes)]
-    cells = cells.withColumns({f"_{a}": x for a, x in zip(axes, morton_decode(F.col("m"), dim), strict=True)})
-    cells = cells.withColumn("pos", linearize(layout, Domain.default(layout, dims[0]), {a: F.col(f"_{a}") for a in axes})).filter(F.col("pos").isNotNull())
-    marks = stream.groupBy("var").agg(F.sort_array(F.collect_list("first")).alias("firsts"))  # one number per record
-    cells = cells.join(F.broadcast(marks), "var").withColumn("first", F.array_max(F.filter("firsts", lambda f: f <= F.col("pos"))))
+    # places are found per parent, and filtered behind the children, as a filter would take the whole expressions with it
+    up = {f"_{a}": x for a, x in zip(axes, morton_decode(F.col("m"), dim), strict=True)}
+    cells = above.select("var", "m", (F.lit(width) - F.col("len")).alias("nbits"), *[c.alias(n) for n, c in up.items()])
+    cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit((1 << dim) - 1))).alias("c"))
+    coords = {a: F.col(f"_{a}") * 2 + F.shiftright("c", k).bitwiseAND(F.lit(1)) for k, a in enumerate(axes)}
+    pos = linearize(layout, Domain.default(layout, dims[0]), coords)
+    cells = cells.select("var", (F.call_function("shiftleft", F.col("m"), F.lit(dim)) + F.col("c")).alias("m"), pos.alias("pos"), "nbits")
+    return cells.filter(F.col("pos").isNotNull())
+
+
+def leaf_residuals(stream: DataFrame, above: DataFrame, meta, dims: list[tuple[int, ...]], chunk: int | None = None) -> DataFrame:
+    """Residuals of the finest prefix level, whose lengths are what their parents lack; records meet their own cells only.
+
+    A record's payloads start after ``skip`` bits, where it has such a column; ``chunk`` is the number of cells of every record, if that is known.
+    """
+    cells = leaf_lengths(above, meta, dims)
+    stream = stream.select("var", "first", "data", "skip" if "skip" in stream.columns else F.lit(0).alias("skip"))
+    if chunk:
+        cells = cells.withColumn("first", F.call_function("div", F.col("pos"), long(chunk)) * chunk)
+    else:
+        marks = stream.groupBy("var").agg(F.sort_array(F.collect_list("first")).alias("firsts"))  # one number per record
+        cells = cells.join(F.broadcast(marks), "var").withColumn("first", F.array_max(F.filter("firsts", lambda f: f <= F.col("pos"))))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("pos")
-        body = unpack_fields(right["data"].iloc[0], left["nbits"].to_numpy())
+        body = unpack_fields(right["data"].iloc[0], left["nbits"].to_numpy(), int(right["skip"].iloc[0]))
         return pd.DataFrame({"var": left["var"], "level": 0, "m": left["m"], "nbits": left["nbits"], "payload": body, "symbol": left["nbits"].astype("int64")})
 
-    pairs = cells.select("var", "first", "m", "pos", "nbits").groupBy("var", "first").cogroup(stream.select("var", "first", "data").groupBy("var", "first"))
+    pairs = cells.select("var", "first", "m", "pos", "nbits").groupBy("var", "first").cogroup(stream.groupBy("var", "first"))
     return pairs.applyInPandas(run, "var string, level int, m long, nbits int, payload long, symbol long")
 
 

@@ -25,3 +25,9 @@ def open_output(spark: SparkSession, path: str):
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+
+
+def open_input(spark: SparkSession, path: str):
+    """A file on any file system that Spark knows, to be read from any place."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)

@@ -13,6 +13,7 @@ from gridloom import cli
 from gridloom.functions import arithmetic, huffman, suffixes
 from gridloom.functions import families as A
 from gridloom.functions.symbols import BOUNDARY, SIGN, alphabet_size, index_symbol, symbol_index
+from gridloom.functions import packing as P
 from gridloom.operators import entropy as E
 from gridloom.operators import mesh as M
 from gridloom.operators import metrics as Q
@@ -194,6 +195,31 @@ def test_files_and_streams(spark, tmp_path, kind, layout, dims, scheme):
     assert values(grid_from_cells(cells.select("var", "m", "bits"), p.meta)) == v
 
 
+@pytest.mark.parametrize("scheme", ["prefix", "multires"])
+def test_files_are_made_of_pieces(spark, tmp_path, monkeypatch, scheme):
+    from gridloom.sources import container
+
+    v = numbers("double", 99)
+    p = compress(grid(spark, v, "double", "Lat_Lon", (11, 9)), scheme)
+    whole = open(write_container(p, str(tmp_path / "whole")), "rb").read()
+    for module in (container, E):
+        monkeypatch.setattr(module, "CHUNK", 7)  # cells
+    monkeypatch.setattr(container, "BLOCK", 50)  # bytes
+    assert open(write_container(p, str(tmp_path / "cut")), "rb").read() == whole
+    c = read_container(spark, str(tmp_path / "cut"), "v")
+    assert c.blocks.count() == -(-len(whole) // 50) and values(c.decompress()) == v
+
+
+def test_memory_of_fields_is_by_field_and_not_by_bit():
+    import tracemalloc
+
+    v, n = np.arange(50_000), np.full(50_000, 64)
+    tracemalloc.start()
+    assert (P.unpack_fields(P.pack_fields(v, n), n) == v).all()
+    assert tracemalloc.get_traced_memory()[1] < 250 * len(v)
+    tracemalloc.stop()
+
+
 def test_file_header(spark, tmp_path):
     p = compress(grid(spark, numbers("float", 6), "float", "Lat_Lon", (2, 3)), "prefix")
     data = open(write_container(p, str(tmp_path / "h")), "rb").read()
