@@ -253,15 +253,20 @@ def leaf_residuals(stream: DataFrame, above: DataFrame, meta, dims: list[tuple[i
 
 def encode_suffixes(rows: DataFrame, method: str, order: str = "pos", by: tuple[str, ...] = ("chunk",)) -> DataFrame:
     """Ordered suffixes (``payload, nbits``) of each group by one of the alternative encoders: the keys, ``n`` and ``data``."""
-    encoder = suffixes.ENCODERS[method]
+    return encode_suffixes_by(rows, (method,), order, by).drop("method")
+
+
+def encode_suffixes_by(rows: DataFrame, methods: tuple[str, ...], order: str = "pos", by: tuple[str, ...] = ("chunk",)) -> DataFrame:
+    """As ``encode_suffixes`` by several encoders: ``method``, the keys, ``n`` and ``data``. Suffixes move and are ordered once for all."""
     kinds = dict(rows.dtypes)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        data = encoder(pdf["payload"].to_numpy(), pdf["nbits"].to_numpy().astype(np.int64))
-        return pd.DataFrame({**{c: [k] for c, k in zip(by, key, strict=True)}, "n": [len(pdf)], "data": [data]})
+        payload, nbits = pdf["payload"].to_numpy(), pdf["nbits"].to_numpy().astype(np.int64)
+        data = [suffixes.ENCODERS[m](payload, nbits) for m in methods]
+        return pd.DataFrame({"method": methods, **{c: [k] * len(methods) for c, k in zip(by, key, strict=True)}, "n": [len(pdf)] * len(methods), "data": data})
 
-    return rows.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", n long, data binary")
+    return rows.groupBy(*by).applyInPandas(run, "method string, " + ", ".join(f"{c} {kinds[c]}" for c in by) + ", n long, data binary")
 
 
 def xor_with_previous(rows: DataFrame, order: str = "pos", by: tuple[str, ...] = ("chunk",)) -> DataFrame:

@@ -506,8 +506,7 @@ def huffman_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suffix_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = compress(vectors(spark, sf_dir), "prefix").residuals.filter("level = 0")
     rows = rows.select(F.expr("m div 4096").alias("chunk"), F.col("m").alias("pos"), "payload", "nbits")
-    out = [E.encode_suffixes(rows, m).select(F.lit(m).alias("method"), "chunk", "n", F.octet_length("data").alias("bytes")) for m in suffixes.ENCODERS]
-    return reduce(lambda a, b: a.unionByName(b), out)
+    return E.encode_suffixes_by(rows, tuple(suffixes.ENCODERS)).select("method", "chunk", "n", F.octet_length("data").alias("bytes"))
 
 
 @query("xor_with_previous", f"SELECT event_id, xor(b, lag(b, 1, 0::BIGINT) OVER (PARTITION BY event_id // 1000 ORDER BY event_id)) AS xored FROM (SELECT event_id, event_id * 7919 % 65536 AS b FROM events)")

@@ -67,3 +67,8 @@ def test_several_levels_take_one_shuffle(spark):
     cells = PrefixScheme(grids.elem("float")).start(cells_of(grids.vectors(spark, SMALLEST))).select("var", "m", "bits", "len")
     plan = climb(cells, 2, 0, 3, PrefixScheme(grids.elem("float")).step)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and len(re.findall(r"\bSort \[", plan)) == 1 and len(re.findall(r"\bWindow \[", plan)) >= 3
+
+
+def test_suffixes_move_once_for_all_encoders(spark):
+    plan = grids.suffix_encodings(spark, SMALLEST)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1 and plan.count("Exchange hashpartitioning") == 1
