@@ -112,8 +112,18 @@ def lorenzo_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.count_if("zero").alias("zeros"), F.sqrt(F.avg(F.col("residual") * F.col("residual"))).alias("rmse"))
 
 
-#: Cells per side of the blocks that ``lorenzo_feedback`` walks, by number of dimensions.
-_WALKED = {1: 1 << 16, 2: 256, 3: 64, 4: 16}
+#: Cells of a block that ``lorenzo_feedback`` walks.
+_WALKED = 1 << 19
+
+
+def _walked_sides(shape: tuple[int, ...]) -> list[int]:
+    """Sides of blocks of about that many cells: short axes whole, the others alike, so that long grids have few waves."""
+    sides, left = [1] * len(shape), _WALKED
+    order = sorted(range(len(shape)), key=lambda k: shape[k])
+    for at, k in enumerate(order):
+        sides[k] = max(1, min(shape[k], round(left ** (1 / (len(order) - at)))))
+        left //= sides[k]
+    return sides
 
 
 def lorenzo_feedback(grid: Grid, rel_err: float = 1e-6, block: int | None = None) -> DataFrame:
@@ -122,18 +132,19 @@ def lorenzo_feedback(grid: Grid, rel_err: float = 1e-6, block: int | None = None
     The first planes of the grid predict, but are not predicted; all other cells are. As a replacement changes what
     all cells behind it are predicted from, blocks are walked in waves: those whose places add up to the same number
     don't depend on each other, and each is handed the restored planes before it, which earlier waves have written. Within
-    a block the cells of an anti-diagonal are taken at once. There are as many waves as blocks along all axes together.
+    a block the cells of an anti-diagonal are taken at once. There are as many waves as blocks along all axes together, so blocks
+    are large and as long as the grid is.
     """
     axes, meta, spark = grid.axes, grid.meta, grid.df.sparkSession
     starts, shape = meta.domain.starts(meta.layout), meta.domain.lengths(meta.layout)
-    size = block or _WALKED[len(axes)]
+    sizes = [block] * len(axes) if block else _walked_sides(shape)
     kind, folder = meta.elem, shared_folder(spark)
     names = [f"b_{a}" for a in axes]
-    within = dict(zip(axes, [(F.col(a) - s) % size for a, s in zip(axes, starts, strict=True)], strict=True))
+    within = dict(zip(axes, [(F.col(a) - s) % n for a, s, n in zip(axes, starts, sizes, strict=True)], strict=True))
     corners = [(s, [o.get(a, 0) for a in axes]) for s, o in lorenzo_offsets(axes)]
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        base = [pdf[b].iloc[0] * size + s - 1 for b, s in zip(names, starts, strict=True)]
+        base = [pdf[b].iloc[0] * n + s - 1 for b, s, n in zip(names, starts, sizes, strict=True)]
         at = [pdf[a].to_numpy() - o for a, o in zip(axes, base, strict=True)]
         data = np.full([x.max() + 1 for x in at], np.nan, np.float64)  # the first of each axis: what lies before the block
         data[tuple(at)] = pdf["restored"].to_numpy(dtype=np.float64)
@@ -154,20 +165,20 @@ def lorenzo_feedback(grid: Grid, rel_err: float = 1e-6, block: int | None = None
         return pdf.loc[own, ["var", *COORDS, *names, "value"]].assign(restored=data[spot].astype(kind.numpy), zero=zero.reshape(data.shape)[spot])
 
     columns = f"var string, t long, z long, y long, x long, {', '.join(f'{b} long' for b in names)}, value {kind.spark}"
-    index = [F.call_function("div", F.col(a) - s, long(size)).alias(b) for a, b, s in zip(axes, names, starts, strict=True)]
+    index = [F.call_function("div", F.col(a) - s, long(n)).alias(b) for a, b, s, n in zip(axes, names, starts, sizes, strict=True)]
     cells = grid.df.select("var", *COORDS, *index, "value").withColumn("wave", reduce(lambda p, q: p + q, [F.col(b) for b in names]).cast("int"))
     cells.write.partitionBy("wave").parquet(f"{folder}/cells")
     cells = spark.read.schema(f"{columns}, wave int").parquet(f"{folder}/cells")
     done: list[DataFrame] = []
-    for wave in range(sum((n - 1) // size for n in shape) + 1):
+    for wave in range(sum((n - 1) // size for n, size in zip(shape, sizes, strict=True)) + 1):
         rows = cells.filter(F.col("wave") == wave).withColumns({"restored": F.col("value"), "before": F.lit(False)}).drop("wave")
         for ahead in product((0, 1), repeat=len(axes)):
             if 0 < sum(ahead) <= wave:  # the last planes of the block that lies one step before along these axes
-                last = reduce(lambda p, q: p & q, [within[a] == size - 1 for a, s in zip(axes, ahead, strict=True) if s])
+                last = reduce(lambda p, q: p & q, [within[a] == n - 1 for a, s, n in zip(axes, ahead, sizes, strict=True) if s])
                 plane = done[wave - sum(ahead)].filter(last).withColumns({b: F.col(b) + s for b, s in zip(names, ahead, strict=True)} | {"before": F.lit(True)})
                 rows = rows.unionByName(plane.select(*rows.columns))
-        done.append(written(rows.groupBy("var", *names).applyInPandas(_only_own(walk), f"{columns}, restored {kind.spark}, zero boolean"), f"{folder}/wave-{wave}"))
-    return reduce(DataFrame.unionByName, done).select("var", *COORDS, "value", "restored", "zero")
+        done.append(written(rows.groupBy("var", *names).applyInPandas(_only_own(walk), f"{columns}, restored {kind.spark}, zero boolean"), f"{folder}/done/wave={wave}"))
+    return spark.read.schema(done[0].schema).parquet(f"{folder}/done").select("var", *COORDS, "value", "restored", "zero")
 
 
 def _only_own(walk: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:

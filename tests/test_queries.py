@@ -72,3 +72,10 @@ def test_several_levels_take_one_shuffle(spark):
 def test_suffixes_move_once_for_all_encoders(spark):
     plan = grids.suffix_encodings(spark, SMALLEST)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FlatMapGroupsInPandas") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_long_grids_are_walked_in_few_waves():
+    from gridloom.operators.neighbours import _walked_sides
+
+    for shape in ((360_000, 100), (6000, 6000), (90_000, 20, 20), (36_000, 10, 10, 10), (36_000_000,)):
+        assert sum(-(-n // k) - 1 for n, k in zip(shape, _walked_sides(shape), strict=True)) < 80
