@@ -134,8 +134,10 @@ def unpack_bits(packed: DataFrame, chunk: int = 1 << 20) -> DataFrame:
 
 def decode_mesh(bits: DataFrame, dim: int, depth: int) -> DataFrame:
     """``var, m, level`` of the elements that a mesh's bits (``var, step, i, refined``) describe, from one root per variable."""
-    now = bits.select("var").distinct().select("var", long(0).alias("m"), F.lit(depth).alias("level"))
     folder = shared_folder(bits.sparkSession)
+    # written, as each step reads its own bits and would unpack those of all steps, and make them, for it
+    bits = written(bits.select("var", "step", "i", "refined"), f"{folder}/bits", ("step",))
+    now = bits.select("var").distinct().select("var", long(0).alias("m"), F.lit(depth).alias("level"))
     for step in range(depth):
         level = depth - 1 - step
         here = bits.filter(F.col("step") == step).select("var", "i", "refined")

@@ -79,3 +79,19 @@ def test_long_grids_are_walked_in_few_waves():
 
     for shape in ((360_000, 100), (6000, 6000), (90_000, 20, 20), (36_000, 10, 10, 10), (36_000_000,)):
         assert sum(-(-n // k) - 1 for n, k in zip(shape, _walked_sides(shape), strict=True)) < 80
+
+
+def test_mesh_bits_are_read_once(spark):
+    from gridloom.operators import mesh as M
+
+    grid = grids.events(spark, SMALLEST, "Lat_Lon")
+    elements = M.embedded_elements(grid).select("var", "m", "level")
+    bits, seen = M.unpack_bits(M.pack_bits(M.refinement_bits(elements, 2, grid.meta.depth))), spark.sparkContext.accumulator(0)
+
+    def count(it):
+        for pdf in it:
+            seen.add(len(pdf))
+            yield pdf
+
+    counted = bits.mapInPandas(count, bits.schema)
+    assert M.decode_mesh(counted, 2, grid.meta.depth).count() == elements.count() and seen.value == bits.count()
