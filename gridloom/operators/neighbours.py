@@ -12,6 +12,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -345,16 +346,21 @@ def extremes(grid: Grid) -> DataFrame:
     return dense_index(out, "m")
 
 
+def _with_halos(families: DataFrame, length: int, bucket: int) -> DataFrame:
+    """Families in each bucket ``b`` of places whose lines they are in."""
+    place = F.col("i")
+    # a family is in the lines of those from length - 1 before to half after it
+    homes = F.array(*[F.call_function("div", F.greatest(p, long(0)), long(bucket)) for p in (place, place - (length - 1), place + (length - 1) // 2)])
+    return families.withColumn("b", F.explode(F.array_distinct(homes)))
+
+
 def scanline(coarse: DataFrame, length: int = 53, bucket: int = 4096) -> DataFrame:
     """Adds ``line``: the ``length`` consecutive families around each one, in Morton order; at the start and end those there are.
 
     Families are dealt by ranges of their place with halos, so no order over all rows is needed.
     """
     half, bucket = (length - 1) // 2, max(bucket, length)
-    place = F.col("i")
-    # a family is in the lines of those from length - 1 before to half after it
-    homes = F.array(*[F.call_function("div", F.greatest(p, long(0)), long(bucket)) for p in (place, place - (length - 1), place + half)])
-    rows = coarse.withColumn("b", F.explode(F.array_distinct(homes)))
+    rows = _with_halos(coarse, length, bucket)
     w = W.partitionBy("var", "b").orderBy("i").rowsBetween(-half, length - 1)
     rows = rows.withColumn("line", F.collect_list(F.struct("i", "high", "low")).over(w))
     rows = rows.filter(F.call_function("div", F.col("i"), long(bucket)) == F.col("b"))
@@ -362,25 +368,49 @@ def scanline(coarse: DataFrame, length: int = 53, bucket: int = 4096) -> DataFra
     return rows.withColumn("line", F.filter("line", lambda x: (x["i"] >= first) & (x["i"] < first + length))).drop("b")
 
 
-def scanline_prediction(grid: Grid, length: int = 53, nearest: int = 6, power: int = 16) -> DataFrame:
+def scanline_prediction(grid: Grid, length: int = 53, nearest: int = 6, power: int = 16, bucket: int = 8192) -> DataFrame:
     """Inverse-distance weighting over the points of a family's scanline that are nearer than the one after the ``nearest``.
 
-    Returns ``var, t, z, y, x, value, prediction``; a cell that is itself a point is predicted by its value.
+    Returns ``var, t, z, y, x, value, prediction``; a cell that is itself a point is predicted by its value. Families move
+    with their cells, dealt by ranges of their place with halos; lines are windows over a range's points and never stored.
     """
     grid = grid.along_curve
-    starts = dict(zip(grid.axes, grid.meta.domain.starts(grid.meta.layout), strict=True))
-    lines = scanline(extremes(grid), length).select("var", F.col("m").alias("up"), "line")
-    points = F.concat(F.transform("line", lambda x: x["high"]), F.transform(F.filter("line", lambda x: x["low"].isNotNull()), lambda x: x["low"]))
-    lines = lines.select("var", "up", points.alias("points"))
-    cells = grid.df.withColumn("up", shr(morton_of(grid.axes, grid.meta.domain.starts(grid.meta.layout)), len(grid.axes)))
-    rows = cells.join(lines, ["var", "up"])
-    square = lambda p: reduce(lambda a, b: a + b, [(p["at"][a] - (F.col(a) - starts[a] + F.lit(0.5))) * (p["at"][a] - (F.col(a) - starts[a] + F.lit(0.5))) for a in grid.axes])
-    rows = rows.withColumn("near", F.transform("points", lambda p: F.struct(square(p).alias("d"), p["value"].cast("double").alias("v"))))
-    rows = rows.withColumn("radius", F.get(F.array_sort(F.transform("near", lambda n: n["d"])), F.lit(nearest)))
-    hit = F.get(F.filter("near", lambda n: n["d"] == 0), F.lit(0))["v"]
-    used = F.filter("near", lambda n: F.col("radius").isNull() | (n["d"] < F.col("radius")))
-    rows = rows.withColumns({"hit": hit, "used": F.transform(used, lambda n: F.struct(F.pow(n["d"], F.lit(-power / 2)).alias("w"), n["v"].alias("v")))})
-    over = F.aggregate("used", F.lit(0.0), lambda a, n: a + n["w"] * n["v"])
-    under = F.aggregate("used", F.lit(0.0), lambda a, n: a + n["w"])
-    prediction = F.when(F.col("hit").isNotNull(), F.col("hit")).when(F.size("used") > 0, over / F.nullif(under, F.lit(0.0)))
-    return rows.select("var", *COORDS, "value", prediction.cast(grid.meta.elem.spark).alias("prediction"))
+    kind, axes, bucket, half = grid.meta.elem, grid.axes, max(bucket, length), (length - 1) // 2
+    starts = dict(zip(axes, grid.meta.domain.starts(grid.meta.layout), strict=True))
+    cells = grid.df.select("var", morton_of(axes, [*starts.values()]).alias("c"), *COORDS, "value")
+    points = extremes(grid).select("var", "m", "i", *[F.col(f"{p}.value").cast("double").alias(f"{p}_v") for p in ("high", "low")], *[F.col(f"{p}.at.{a}").alias(f"{p}_{a}") for p in ("high", "low") for a in axes])
+    points = written(points, f"{shared_folder(grid.df.sparkSession)}/points")
+    homes = _with_halos(points.toDF(*points.columns), length, bucket)  # columns of its own, as both sides meet again
+    own = cells.withColumn("m", shr(F.col("c"), len(axes))).join(points.select("var", "m", "i"), ["var", "m"])
+    own = own.select("var", F.call_function("div", F.col("i"), long(bucket)).alias("b"), "i", *COORDS, "value")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("i")
+        number = lambda rows, c: rows.column(c).to_numpy().astype(np.float64)
+        both = lambda c: np.stack([number(right, f"{p}_{c}") for p in ("high", "low")], axis=1)
+        at, value = {a: both(a) for a in axes}, both("v")
+        first, n = right.column("i")[0].as_py() if len(right) else 0, len(right)  # places in a bucket and its halo are consecutive
+        places, own_at = left.column("i").to_numpy(), {a: number(left, a) - starts[a] + 0.5 for a in axes}
+        out, lacks = np.zeros(len(left)), np.zeros(len(left), bool)
+        for start in range(0, len(left), 4096):
+            part = slice(start, start + 4096)
+            line = (np.maximum(places[part] - half, 0) - first)[:, None] + np.arange(length)
+            there = line < n
+            line = np.where(there, line, 0)
+            d = sum((at[a][line] - own_at[a][part, None, None]) ** 2 for a in axes)
+            d = np.where(there[:, :, None] & ~np.isnan(d), d, np.inf).reshape(len(line), -1)  # infinitely far where there is no point
+            v = value[line].reshape(len(line), -1)
+            radius = np.partition(d, nearest, axis=1)[:, nearest] if nearest < d.shape[1] else np.full(len(line), np.inf)
+            row, column = np.nonzero(d < radius[:, None])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                w = d[row, column] ** (-power / 2)
+                under = np.bincount(row, w, len(line))
+                p = np.bincount(row, w * v[row, column], len(line)) / under
+            hit = d == 0
+            found = hit.any(axis=1)
+            p[found] = v[found, hit[found].argmax(axis=1)]
+            out[part], lacks[part] = p, ~found & ~(under > 0)
+        return left.select(["var", *COORDS, "value"]).append_column("prediction", pa.array(out, mask=lacks, from_pandas=False))
+
+    found = own.groupBy("var", "b").cogroup(homes.groupBy("var", "b")).applyInArrow(run, f"var string, t long, z long, y long, x long, value {kind.spark}, prediction double")
+    return found.select("var", *COORDS, "value", F.col("prediction").cast(kind.spark).alias("prediction"))

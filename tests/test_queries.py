@@ -95,3 +95,8 @@ def test_mesh_bits_are_read_once(spark):
 
     counted = bits.mapInPandas(count, bits.schema)
     assert M.decode_mesh(counted, 2, grid.meta.depth).count() == elements.count() and seen.value == bits.count()
+
+
+def test_scanlines_are_not_moved_with_cells(spark):
+    plan = grids.scanline_predict(spark, SMALLEST)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "FlatMapCoGroupsInArrow" in plan
