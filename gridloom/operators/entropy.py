@@ -28,8 +28,11 @@ STREAM = "var string, level int, chunk long, first long, n long, alphabet binary
 def symbol_frequencies(pyramid: Pyramid) -> DataFrame:
     """``var, level, symbol, n``; the boundary symbol counts once per level."""
     found = pyramid.residuals.filter(F.col("symbol").isNotNull()).groupBy("var", "level", "symbol").agg(F.count("*").alias("n"))
-    ends = found.select("var", "level").distinct().select("var", "level", long(BOUNDARY).alias("symbol"), long(1).alias("n"))
-    return found.unionByName(ends)
+    # the boundary goes beside a level's first symbol, so residuals are counted once
+    first = F.row_number().over(W.partitionBy("var", "level").orderBy("symbol")) == 1
+    own, end = F.struct("symbol", "n"), F.struct(long(BOUNDARY).alias("symbol"), long(1).alias("n"))
+    rows = found.withColumn("_first", first).select("var", "level", F.explode(F.when(F.col("_first"), F.array(own, end)).otherwise(F.array(own))).alias("e"))
+    return rows.select("var", "level", "e.symbol", "e.n")
 
 
 def cumulative_frequencies(frequencies: DataFrame, scheme: str, width: int) -> DataFrame:

@@ -100,3 +100,13 @@ def test_mesh_bits_are_read_once(spark):
 def test_scanlines_are_not_moved_with_cells(spark):
     plan = grids.scanline_predict(spark, SMALLEST)._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+def test_residuals_are_counted_once_and_records_decoded_once(spark, monkeypatch):
+    from gridloom.operators import entropy as E
+
+    p = grids.compress(grids.vectors(spark, SMALLEST), "multires")
+    scans = p.residuals._jdf.queryExecution().executedPlan().toString().count("FileScan")
+    assert E.symbol_frequencies(p)._jdf.queryExecution().executedPlan().toString().count("FileScan") == scans
+    cells = E.decode(E.encode(p, 8192), "multires", p.meta, p.depth)
+    assert "MapInPandas" not in cells._jdf.queryExecution().executedPlan().toString()
